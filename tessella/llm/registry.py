@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import packing, token_store
+from tessella.llm import imatch, packing, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": token_store.op1_token_store,
     "op7_packing": packing.op7_packing,
+    "op9_imatch": imatch.op9_imatch,
+    "op10_simhash": simhash.op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_imatch": imatch.ORACLE}
