@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import imatch, packing, simhash, token_store
+from tessella.llm import imatch, langid, packing, secret_scan, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": token_store.op1_token_store,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op4_langid": langid.op4_langid,
     "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_imatch": imatch.op9_imatch,
     "op10_simhash": simhash.op10_simhash,
 }
