@@ -32,6 +32,17 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Send at most ``rows`` rows at once to Python workers, unless the session has its own setting.
+
+    Documents are long: Spark's 10,000 rows of them are tens of megabytes in every worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+    return spark
+
+
 class Workspace:
     """Work tables of one query: written once, read back, and so cut off from their lineage."""
 
