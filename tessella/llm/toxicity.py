@@ -124,22 +124,9 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = 200, rate:
     that a word's weight grows with the bags that speak for it, and rare words cannot
     explain a document first.
     """
-    words, sentence, row, s = [], [], [], 0
-    for i, bag in enumerate(bags):
-        number = np.cumsum(bag[:, 0] < 0)
-        keep = bag[:, 0] >= 0
-        if not keep.any():
-            continue
-        n, w = number[keep], bag[keep]
-        first = np.concatenate([[True], n[1:] != n[:-1]])
-        words.append(w)
-        sentence.append(s + np.cumsum(first) - 1)
-        row.append(np.full(int(first.sum()), i))
-        s += int(first.sum())
     weights, offset = np.zeros(1 << BITS), np.array([START])
-    if not words or len(set(labels.tolist())) < 2:
+    if len(set(labels.tolist())) < 2:
         return Scorer(weights, START)
-    h, sentence, row = map(np.concatenate, (words, sentence, row))
     docs_with, toxic_with = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for bag, label in zip(bags, labels.tolist()):
         own = np.unique(bag[bag >= 0])
@@ -148,15 +135,28 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = 200, rate:
     share = (labels > 0).mean()
     z = (toxic_with - docs_with * share) / np.sqrt(np.maximum(docs_with, 1) * share * (1 - share))
     telling = (docs_with >= least_docs) & (z >= least_z)
-    word = np.repeat(np.arange(h.shape[0]), h.shape[1])
-    flat = h.ravel()
-    common = telling[flat]
-    used, slot = np.unique(flat[common], return_inverse=True)
-    place = sentence[word[common]]
-    # one entry for each sentence and hash, with its count
-    entry, times = np.unique(place * len(used) + slot, return_counts=True)
-    place, slot = entry // max(1, len(used)), entry % max(1, len(used))
-    sentences = len(row)
+    used = np.flatnonzero(telling)
+    slots = np.zeros(1 << BITS, np.int32)
+    slots[used] = np.arange(len(used))
+    place, slot, times, row, sentences = [], [], [], [], 0
+    for i, bag in enumerate(bags):
+        keep = bag[:, 0] >= 0
+        if not keep.any():
+            continue
+        n, own = np.cumsum(~keep)[keep], bag[keep]
+        first = np.concatenate([[True], n[1:] != n[:-1]])
+        number = sentences + np.cumsum(first) - 1
+        row.append(np.full(int(first.sum()), i))
+        sentences += int(first.sum())
+        word, which = np.nonzero(telling[own])
+        # one entry for each sentence and hash, with its count
+        entry, count = np.unique(number[word] * len(used) + slots[own[word, which]], return_counts=True)
+        place.append(entry // max(1, len(used)))
+        slot.append(entry % max(1, len(used)))
+        times.append(count)
+    if not row:
+        return Scorer(weights, START)
+    place, slot, times, row = map(np.concatenate, (place, slot, times, row))
     w = np.zeros(len(used))
     speed, speed_offset = np.zeros(len(used)), 0.0
     for _ in range(steps):
@@ -174,7 +174,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = 200, rate:
     return Scorer(weights, float(offset[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 8000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 6000) -> Scorer:
     """Learn from at most ``sample_docs`` labelled rows that :func:`held_out` does not mark."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().where(~held_out("doc_id"))
     chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", sample_docs)
@@ -185,8 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             bags = [_bag(text).astype("<i4").tobytes() for text in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
 
-    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bag binary").collect(), key=lambda r: (r.doc_id, r.bag))
-    return train([np.frombuffer(r.bag, "<i4").astype(np.int64).reshape(-1, 1 + len(PREFIXES)) for r in got], np.array([r.label for r in got]))
+    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
+    bags = [np.frombuffer(b.as_buffer(), "<i4").reshape(-1, 1 + len(PREFIXES)) for b in got.column("bag")]
+    ids, labels = got.column("doc_id").to_pylist(), got.column("label").to_numpy()
+    order = sorted(range(len(bags)), key=lambda i: (ids[i], bags[i].tobytes()))
+    return train([bags[i] for i in order], labels[order])
 
 
 def score(docs: DataFrame, model: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
