@@ -34,13 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays.
-
-    Fingerprints are over shingles of five words; the link radius of 2 of 64 bits asks for
-    more than a similarity of 0.8.
-    """
+    """One document of each group stays that shares 0.8 or more of its shingles of five words, or nearly all fingerprint bits."""
     small_batches(spark)
-    return simhash.dedup(docs, width=5)
+    return simhash.dedup_similar(docs, width=5, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

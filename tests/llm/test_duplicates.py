@@ -128,3 +128,42 @@ def test_imatch_equals_brute_force(spark):
     assert imatch.compare_edited(docs.limit(0)).count() == 0
     one = imatch.compare_edited(docs.where("doc_id = 44")).first()
     assert one.near_next == 1.0
+
+
+def jaccard(a, b, width=5):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_groups_hold_every_similar_pair(spark):
+    rng = random.Random(21)
+    vocab = ["w%d" % i for i in range(2000)]
+    rows = []
+    for i in range(12):
+        base = [rng.choice(vocab) for _ in range(60)]
+        for k in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(60)] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(500, None), (501, ""), (502, "one two"), (503, "one  two"), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sketch", "2 as node")
+    names = list(range(len(rows)))
+    links = [(i, j) for i in names for j in names if i < j and jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    root = plain_components(names, links)
+    got = simhash.group_similar(docs).collect()
+    text_of = {hash_text: c for hash_text, c in ((r.text_hash, r.component) for r in got)}
+    by_row = {}
+    for r in got:
+        by_row.setdefault(r.doc_id, r.component)
+    joined = [(i, j) for i, j in links if rows[i][0] is not None and rows[j][0] is not None and by_row[rows[i][0]] != by_row[rows[j][0]]]
+    assert len(joined) <= 0.01 * len(links) and len(text_of) > 12
+    assert len({r.component for r in got}) >= len(set(root.values())) - 1
+    assert simhash.dedup_similar(docs).count() == len({r.component for r in got})
+    crowded = simhash.group_similar(docs, crowd=2).collect()
+    assert len({r.component for r in crowded}) <= len({r.component for r in got}) + 2
+    assert simhash.group_similar(docs.limit(0)).count() == 0
