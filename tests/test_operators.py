@@ -193,3 +193,24 @@ def test_streams_equal_their_batch_twins(spark, sf_dir, tmp_path):
     q = E.last_n(spark, stream, str(tmp_path / "last"), 50).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "last" / "0")).count() == 50
+
+
+def test_pruning_and_registry():
+    from tessella.operators import pruning as X
+    from tessella.operators import registry as G
+
+    assert X.within_budget([50, 500, 60, 30], [0.1, 0.9, 0.5, 0.4], 550) == [1, 3]
+    assert X.rebuild([("<p>a</p>", ("div", "h1_domain")), ("<p>b</p>", ("h1_domain",)), ("<p>c</p>", ("isolated_domain",))]) == '<div class="h1_domain">\n<p>a</p>\n<p>b</p>\n</div>\n<p>c</p>'
+    assert X.heading_context(("div", "h1_domain", "h2_section")) == "h1 h2"
+    page = "".join(f"<div><p>{' '.join(f'{w}{i}' for i in range(40))}</p></div>" for w in ("cat", "dog", "cow"))
+    assert "dog7" in X.prune(page, "dog7 dog8", most=60, least=10, budget=60) and "cow7" not in X.prune(page, "dog7 dog8", most=60, least=10, budget=60)
+    assert X.prune("", "q") == "" and X.prune(page, "q", lambda q, t: 1 / 0, most=60, least=10).count("<p>") >= 1
+    assert G.arithmetic("2 + 3 * (4 - 1) ** 2") == 29 and G.arithmetic("sqrt(16) + max(1, 2)") == 6
+    for bad in ("__import__('os')", "x", "2 ** 99999", "'a'"):
+        with pytest.raises(Exception):
+            G.arithmetic(bad)
+    r = G.Registry()
+    r.add(lambda a, b=1: a + b, "plus")
+    assert r.call("plus", a=2, z=9) == {"status": "success", "data": 3}
+    assert r.call("plus")["code"] == "INVALID_PARAM" and r.call("no")["code"] == "NOT_FOUND" and r.call("plus", a="x")["code"] == "EXECUTION_ERROR"
+    assert r.schema()[0]["arguments"] == ["a", "b"]
