@@ -56,20 +56,30 @@ def windows(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Array of (key, own): the line's own segments, and its substrings that can meet a shorter line's."""
+def fixed_width(line: Column) -> Column:
+    """A line in four bytes a character, so that a substring is found without counting from the start."""
+    return F.encode(line, "UTF-32")
+
+
+def segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines`` with a row for each (key, own): its segments, and its substrings that can meet a shorter line's.
+
+    Wants a column ``units``, a :func:`fixed_width` line, and takes it away. The windows are
+    rows before the key is computed, so that the generated code holds one key, not all.
+    """
     parts = threshold + 1
-    keys = []
-    for diff, i, shift in windows(threshold):
-        length = n - diff
-        size = F.floor(length / parts).cast("int")
-        short = parts - (length - size * parts)  # so many segments have ``size``, the others one more
-        begin = F.lit(i) * size + F.greatest(F.lit(0), F.lit(i) - short) + 1 + shift
-        width = size + F.when(F.lit(i) >= short, 1).otherwise(0)
-        inside = (begin >= 1) & (begin + width - 1 <= n)
-        key = F.xxhash64(length, F.lit(i), F.substr(line, begin.cast("int"), width.cast("int")))
-        keys.append(F.struct(F.when(inside, key).alias("key"), F.lit(diff == 0 and shift == 0).alias("own")))
-    return F.array(*keys)
+    each = F.array(*(F.struct(F.lit(diff).alias("diff"), F.lit(i).alias("seg"), F.lit(shift).alias("shift")) for diff, i, shift in windows(threshold)))
+    n = F.floor(F.length("units") / 4).cast("int")
+    length = n - F.col("diff")
+    size = F.floor(length / parts).cast("int")
+    short = parts - (length - size * parts)  # so many segments have ``size``, the others one more
+    begin = F.col("seg") * size + F.greatest(F.lit(0), F.col("seg") - short) + 1 + F.col("shift")
+    width = size + (F.col("seg") >= short).cast("int")
+    key = F.xxhash64(length, "seg", F.substr("units", (begin - 1) * 4 + 1, width * 4))
+    own = (F.col("diff") == 0) & (F.col("shift") == 0)
+    rest = [c for c in lines.columns if c != "units"]
+    wide = lines.select("*", F.inline(each)).where((begin >= 1) & (begin + width - 1 <= n))
+    return wide.select(*rest, key.alias("key"), own.alias("own"))
 
 
 def bigram_parity(line: Column) -> Column:
@@ -125,17 +135,20 @@ def link_lines(work: Workspace, lines: DataFrame, *, threshold: int = THRESHOLD,
     ``lines`` has line, h1 and h2, repeats included; an id is both hashes in hexadecimal.
     """
     fuzzy = lines.where(F.length("line") >= max(least_chars, threshold + 1)).select("h1", "h2", "line")
-    n = F.length("line")
-    keyed = fuzzy.select("h1", "h2", "line", F.inline(segment_keys(F.col("line"), n, threshold))).where("key is not null")
-    per_key = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.bool_or("own").alias("met"))
-    shared = work.keep(per_key.where("lo <> hi and met").select("key"), "keys")
+
+    def with_keys(some: DataFrame) -> DataFrame:
+        return segment_keys(some.select("h1", "h2", "line", fixed_width(F.col("line")).alias("units")), threshold)
+
+    keyed = with_keys(fuzzy)
+    per_key = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    shared = work.keep(per_key.where("lo <> hi").select("key"), "keys")
     if shared.count() <= BROADCAST_KEYS:
         shared = F.broadcast(shared)
         found = keyed.join(shared, "key")
     else:  # find the lines by their hashes first, so that texts are shuffled once and not with every key
         some = keyed.select("key", "h1").join(shared, "key").select("h1").distinct()
         picked = fuzzy.join(some, "h1", "left_semi")
-        found = picked.select("h1", "h2", "line", F.inline(segment_keys(F.col("line"), n, threshold))).join(shared, "key")
+        found = with_keys(picked).join(shared, "key")
     one = found.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.collect_set(F.struct("key", "own")).alias("keys"))
     line_id = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     members = work.keep(one.select(line_id.alias("id"), "line", "keys", bigram_parity(F.col("line")).alias("sig")), "members")
