@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe
-from tessella.llm.common import Workspace
+from tessella.llm.common import Workspace, small_batches
 
 MAGIC = b"TESSEF01"
 #: magic, bytes an id, null doc_ids, documents, ids, smallest doc_id
@@ -152,9 +152,9 @@ def _encoder(tokenizer: str, end_id: int, segment_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), coder.encode_column(batch.column(1))):
                 ids.append(doc_id)
-                parts.append(coder.encode(text or "") + end)
+                parts.append(coded.tobytes() + end)
                 held += len(parts[-1]) // coder.width
                 if held >= segment_tokens:
                     yield close()
@@ -213,6 +213,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all of ``documents`` as a token store and read it back."""
     from tessella.session import table
 
+    small_batches(spark)
     path = f"{Workspace(spark).folder}/tokens"
     write_store(table(spark, sf_dir, "documents"), path, bpe.tokenizer_path())
     return read_documents(spark, path)
