@@ -29,33 +29,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe
+from tessella.llm.common import small_batches
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Divide items over ``k`` bins of near-equal total; returns the items of each bin."""
-    if k == 1 or not sizes:
-        return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []
-    for tick, size in enumerate(sizes):
-        totals = np.zeros(k, dtype=np.int64)
-        totals[-1] = size
-        heap.append((-size, tick, totals, [[]] * (k - 1) + [[tick]]))
+    """Divide items over ``k`` bins of near-equal total; returns the items of each bin.
+
+    A merge keeps the order of its slots alone; bins are read off the tree of merges at the end.
+    """
+    n = len(sizes)
+    if k == 1 or not n:
+        return [list(range(n))] + [[] for _ in range(k - 1)]
+    totals: list[np.ndarray | None] = []
+    for size in sizes:
+        alone = np.zeros(k, dtype=np.int64)
+        alone[-1] = size
+        totals.append(alone)
+    heap = [(-size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    tick = len(sizes)
+    merges: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        totals = a + b[::-1]  # both ascend: the fullest slot of one meets the emptiest of the other
-        order = np.argsort(totals, kind="stable")
-        slots = [in_a[i] + in_b[k - 1 - i] for i in order.tolist()]
-        totals = totals[order]
-        totals_spread = int(totals[-1] - totals[0])
-        heapq.heappush(heap, (-totals_spread, tick, totals, slots))
-        tick += 1
-    return heap[0][3]
+        _, a = heapq.heappop(heap)
+        _, b = heap[0]
+        both = totals[a] + totals[b][::-1]  # each ascends: the fullest slot of one meets the emptiest of the other
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        totals[a] = totals[b] = None
+        totals.append(both)
+        heapq.heapreplace(heap, (int(both[0]) - int(both[-1]), n + len(merges)))
+        merges.append((a, b, order))
+    # bins[x] is the bin of each slot of partition x; a merge passes it to its two parts
+    bins: list[np.ndarray | None] = [None] * (n + len(merges))
+    bins[-1] = np.arange(k)
+    for x in range(len(merges) - 1, -1, -1):
+        a, b, order = merges[x]
+        own = np.empty(k, dtype=np.int64)
+        own[order] = bins[n + x]
+        bins[a], bins[b], bins[n + x] = own, own[::-1], None
+    out: list[list[int]] = [[] for _ in range(k)]
+    for i in range(n):
+        out[int(bins[i][-1])].append(i)
+    return out
 
 
 def pack(sizes: list[int], window: int) -> list[list[int]]:
@@ -69,22 +86,20 @@ def pack(sizes: list[int], window: int) -> list[list[int]]:
 
 
 def cut(n: int, window: int, max_piece: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole windows first, then near-equal pieces of the rest."""
+    """(start, length) of a document's pieces: whole windows, then pieces of ``max_piece``, then what is left.
+
+    The last pieces differ in size from document to document, which is what lets windows even out.
+    """
     out = [(s, window) for s in range(0, n - window + 1, window)]
-    at = n - n % window
-    rest = n - at
-    if rest:
-        parts = -(-rest // max_piece)
-        for i in range(parts):
-            begin, end = rest * i // parts, rest * (i + 1) // parts
-            out.append((at + begin, end - begin))
+    for start in range(n - n % window, n, max_piece):
+        out.append((start, min(max_piece, n - start)))
     return out
 
 
 def _packer(tokenizer: str, end_id: int, window: int, max_piece: int, group_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(tokenizer)
-        end = end_id.to_bytes(coder.width, "little")
+        end = np.array([end_id], coder.dtype)
         sequence = TaskContext.get().partitionId() << 40
         done: list[tuple] = []
         items: list[tuple] = []
@@ -106,9 +121,8 @@ def _packer(tokenizer: str, end_id: int, window: int, max_piece: int, group_wind
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=_NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = coder.encode(text or "") + end
-                ids = np.frombuffer(raw, f"<u{coder.width}").astype("<u4")
+            for doc_id, coded in zip(batch.column(0).to_pylist(), coder.encode_column(batch.column(1))):
+                ids = np.concatenate([coded, end]).astype("<u4")
                 n = len(ids)
                 for start, length in cut(n, window, max_piece):
                     crc = zlib.crc32(ids[start : start + length])
@@ -141,4 +155,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all of ``documents`` into sequences of at most 1024 ids."""
     from tessella.session import table
 
+    small_batches(spark)
     return pack_documents(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
