@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out, in_pieces, texts_of
+from tessella.llm.common import held_out, in_pieces, small_batches, texts_of
 from tessella.llm.features import Adam, ngram_counts, platt, sigmoid
 
 UND = "und"
@@ -151,9 +151,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 x = vectors([texts[i] for i in piece]).astype("<f4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), batch.column(2).take(pa.array(piece)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    got = sorted(known.where(chosen).mapInArrow(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.x))
-    x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(len(got), -1)
-    y = np.array([r.lang for r in got])
+    got = known.where(chosen).mapInArrow(run, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    x = np.frombuffer(b"".join(v.as_buffer() for v in got.column("x")), "<f4").reshape(got.num_rows, -1)
+    y = np.array(got.column("lang").to_pylist())
     return Identifier(sorted(set(y.tolist())), x, y)
 
 
@@ -185,5 +185,6 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     from tessella.session import table
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
