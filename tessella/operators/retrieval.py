@@ -8,6 +8,10 @@ slices of its candidates and then over the slices' winners.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +70,11 @@ def hash_cells(df: DataFrame, key: str, text: Column, dims: int = DIMENSIONS) ->
     return raw.join(norm, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def cell_similarity(queries: DataFrame, corpus: DataFrame, *, id_col: str = "chunk_id") -> DataFrame:
-    """(query_id, id, score): cosine of two sparse tables, through a join on the bucket."""
-    b = corpus.select(id_col, "bucket", F.col("value").alias("other"))
-    return queries.join(b, "bucket").groupBy("query_id", id_col).agg(F.round(F.sum(F.col("value") * F.col("other")), 6).alias("score"))
+def hash_vectors(df: DataFrame, key: str, text: Column, dims: int = DIMENSIONS) -> DataFrame:
+    """(key, vector): the hash embedding as an array of ``dims`` numbers; texts without tokens have no row."""
+    cells = hash_cells(df, key, text, dims)
+    by_bucket = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    return by_bucket.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -85,19 +90,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot(a, b) / (norm(a) * norm(b)))
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int = 256) -> DataFrame:
+def _best_of_batches(ids: list, q: np.ndarray, k: int):
+    """A kernel that scores batches of (chunk_id, vector) against unit query rows and keeps the k best of each query and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims = q.shape[1]
+        for batch in batches:
+            lists = batch.column(1)
+            right = np.flatnonzero(lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dims)
+            if not len(right):
+                continue
+            x = lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)[right]
+            scores = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T, 6)
+            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
+            n = order.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def vector_search(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int = 4096) -> DataFrame:
     """Exact cosine top-k of (query_id, vector) over (chunk_id, vector).
 
-    The query set is dealt into blocks of ``block_rows``; a corpus row meets one block at a
-    time, so neither side is broadcast and a task holds one block beside its rows. Vectors of
-    another length, and query vectors without length, find nothing.
+    The query set is taken in blocks of ``block_rows``, which is all that a task holds beside
+    a batch of the corpus. Each batch gives k rows a query, so what is shuffled is small.
+    Vectors of another length, and query vectors without length, find nothing.
     """
-    blocks = queries.select("query_id", "vector", norm(F.col("vector")).alias("qn")).where("qn > 0")
-    blocks = blocks.groupBy(F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / block_rows))).alias("block")).agg(F.collect_list(F.struct("query_id", "vector", "qn")).alias("qs"))
-    rows = corpus.select("chunk_id", F.col("vector").alias("v"), norm(F.col("vector")).alias("n"))
-    met = rows.crossJoin(blocks).select("chunk_id", "v", "n", F.explode("qs").alias("q")).where(F.size("v") == F.size("q.vector"))
-    scored = met.select(F.col("q.query_id").alias("query_id"), "chunk_id", F.round(dot(F.col("v"), F.col("q.vector")) / (F.greatest("n", F.lit(1e-12)) * F.col("q.qn")), 6).alias("score"))
-    return top_k(scored, k)
+    unit = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).where(norm(F.col("vector")) > 0)
+    blocks = max(1, -(-unit.count() // block_rows))
+    rows = corpus.select(F.col("chunk_id").cast("long"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    found = None
+    for b in range(blocks):
+        by_size: dict[int, list] = {}
+        for r in unit.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect():
+            by_size.setdefault(len(r.vector), []).append(r)
+        for some in by_size.values():
+            q = np.array([r.vector for r in some])
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            part = rows.mapInArrow(_best_of_batches([r.query_id for r in some], q, k), "query_id long, chunk_id long, score double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    return top_k(found, k)
 
 
 def rrf(ranked: DataFrame, k: int = 60, *, id_col: str = "chunk_id") -> DataFrame:

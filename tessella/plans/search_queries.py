@@ -71,8 +71,7 @@ def _keyword(spark, d, k=20):
 
 
 def _vector(spark, d, k=20):
-    q = R.hash_cells(_queries(spark, d), "query_id", F.col("text"))
-    return R.top_k(R.cell_similarity(q, R.hash_cells(_corpus(spark, d), "chunk_id", F.col("text"))), k)
+    return R.vector_search(R.hash_vectors(_queries(spark, d), "query_id", F.col("text")), R.hash_vectors(_corpus(spark, d), "chunk_id", F.col("text")), k)
 
 
 def _lists(spark, d):
