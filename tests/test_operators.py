@@ -214,3 +214,24 @@ def test_pruning_and_registry():
     assert r.call("plus", a=2, z=9) == {"status": "success", "data": 3}
     assert r.call("plus")["code"] == "INVALID_PARAM" and r.call("no")["code"] == "NOT_FOUND" and r.call("plus", a="x")["code"] == "EXECUTION_ERROR"
     assert r.schema()[0]["arguments"] == ["a", "b"]
+
+
+def test_folder_stream_ingests_each_file_once(spark, tmp_path):
+    from tessella.streaming.ingest import ingest_folder
+
+    (tmp_path / "in").mkdir()
+    corpus = store.Corpus(spark, str(tmp_path / "kb"))
+    put = lambda name, texts: (tmp_path / "in" / name).write_text(json.dumps([{"chunk_idx": i, "text": t} for i, t in enumerate(texts)]))
+
+    def run():
+        q = ingest_folder(spark, f"file://{tmp_path}/in", corpus).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.awaitTermination(120)
+
+    put("a.json", ["one", "two"])
+    put("b.json", ["three", " "])
+    run()
+    assert tuple(corpus.stats().first()) == (2, 3)
+    put("c.json", ["four"])
+    run()
+    run()
+    assert tuple(corpus.stats().first()) == (3, 4) and corpus.versions.count() == 3
