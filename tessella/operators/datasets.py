@@ -45,8 +45,11 @@ def knowledge_blocks(qa: DataFrame, *, per_group: int | None = 50, least: int =
     )
 
 
-def evaluation_cases(qa: DataFrame, *, intents: int = 3, shortest: int = 3) -> DataFrame:
-    """(id, type, query, expected_category, expected_intent): basic, boundary and follow-up cases."""
+def evaluation_cases(qa: DataFrame, *, intents: int = 3, shortest: int = 3, categories: list[str] | None = None) -> DataFrame:
+    """(id, type, query, expected_category, expected_intent): basic, boundary and follow-up cases.
+
+    ``categories`` names those with follow-ups; without it every category of two intents or more has one.
+    """
     good = qa.dropna(subset=["instruction", "response"]).where(F.trim("instruction") != "")
     firsts = good.groupBy("category", "intent").agg(F.min_by(F.struct("instruction", "pos"), "pos").alias("f")).select("category", "intent", "f.instruction", "f.pos")
     by_name = Window.partitionBy("category").orderBy("intent")
@@ -54,7 +57,8 @@ def evaluation_cases(qa: DataFrame, *, intents: int = 3, shortest: int = 3) -> D
     case = lambda df, kind, name: df.select(name.alias("id"), F.lit(kind).alias("type"), F.col("instruction").alias("query"), F.col("category").alias("expected_category"), F.col("intent").alias("expected_intent"))
     short = good.orderBy(F.length("instruction"), "pos").limit(shortest)
     by_place = Window.partitionBy("category").orderBy("pos")
-    second = firsts.withColumn("_n", F.row_number().over(by_place)).where("_n = 2")
+    followed = firsts if categories is None else firsts.where(F.col("category").isin(categories))
+    second = followed.withColumn("_n", F.row_number().over(by_place)).where("_n = 2")
     return (
         case(basic, "basic", F.concat_ws("_", F.lit("basic"), "category", "intent"))
         .unionByName(case(short, "boundary", F.concat_ws("_", F.lit("boundary_short"), "category", "intent")))
@@ -62,6 +66,40 @@ def evaluation_cases(qa: DataFrame, *, intents: int = 3, shortest: int = 3) -> D
     )
 
 
+#: Categories that get follow-up cases in the sampled and in the full set.
+FOLLOW_UPS = ["ORDER", "REFUND", "DELIVERY", "PAYMENT", "ACCOUNT"]
+FOLLOW_UPS_FULL = [*FOLLOW_UPS, "SHIPPING", "INVOICE", "CANCEL", "FEEDBACK", "CONTACT", "SUBSCRIPTION"]
+
+
+def evaluation_cases_full(qa: DataFrame, *, categories: list[str] | None = None, least: int = 3, short: int = 10, long: int = 80, most: int = 20) -> DataFrame:
+    """(id, type, query, expected_category, expected_intent): every distinct question, the first short and long ones, follow-ups.
+
+    Numbers in ids are positions, so that they need no running count. ``categories`` names
+    those with follow-ups; without it every category of two intents or more has one.
+    """
+    rows = qa.select("pos", "category", "intent", "instruction", F.trim("instruction").alias("q"))
+    good = rows.where(F.length("q") >= least)
+    first = good.groupBy(F.lower("q").alias("_k")).agg(F.min("pos").alias("pos"))
+    basic = good.join(first.select("pos"), "pos", "left_semi")
+
+    def edge(keep: Column) -> DataFrame:
+        once = rows.where(keep).groupBy("instruction").agg(F.min("pos").alias("pos"))
+        return rows.join(once.select("pos").orderBy("pos").limit(most), "pos", "left_semi").where("q <> ''")
+
+    by_intent = rows.groupBy("category", "intent").agg(F.min_by(F.struct("instruction", "pos"), "pos").alias("f")).select("category", "intent", F.col("f.instruction").alias("q"), F.col("f.pos").alias("pos"))
+    if categories is not None:
+        by_intent = by_intent.where(F.col("category").isin(categories))
+    second = by_intent.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("pos"))).where("_n = 2")
+    case = lambda df, kind, *name: df.select(F.concat_ws("_", *name).alias("id"), F.lit(kind).alias("type"), F.col("q").alias("query"), F.col("category").alias("expected_category"), F.col("intent").alias("expected_intent"))
+    number = F.lpad(F.col("pos").cast("string"), 5, "0")
+    return (
+        case(basic, "basic", F.lit("basic"), number, "category", "intent")
+        .unionByName(case(edge(F.length("instruction") <= short), "boundary", F.lit("boundary_short"), "category", "intent", number))
+        .unionByName(case(edge(F.length("instruction") >= long), "boundary", F.lit("boundary_long"), "category", "intent", number))
+        .unionByName(case(second, "multiturn", F.lit("multiturn"), "category"))
+    )
+
+
 def hard_negatives(positives: DataFrame, pool: DataFrame, shown: DataFrame, n: int = 2) -> DataFrame:
     """(query_id, chunk_id): the first ``n`` blocks of the positive's page that were not shown for the query."""
     same = positives.select("query_id", "page_name").join(pool.select("page_name", "chunk_id"), "page_name")

@@ -126,6 +126,20 @@ def eval_cases(spark, d):
     return D.evaluation_cases(_qa(spark, d))
 
 
+@query("eval_cases_full", """
+WITH r AS (SELECT doc_id AS pos, source AS category, lang AS intent, left(text, 5 + (doc_id % 90)::INT) AS instruction, trim(left(text, 5 + (doc_id % 90)::INT)) AS q FROM documents),
+s AS (SELECT * FROM r WHERE length(instruction) <= 10 QUALIFY row_number() OVER (PARTITION BY instruction ORDER BY pos) = 1 ORDER BY pos LIMIT 20),
+l AS (SELECT * FROM r WHERE length(instruction) >= 80 QUALIFY row_number() OVER (PARTITION BY instruction ORDER BY pos) = 1 ORDER BY pos LIMIT 20),
+f AS (SELECT category, intent, arg_min(instruction, pos) AS q, min(pos) AS pos FROM r GROUP BY ALL)
+SELECT 'basic_' || lpad(pos::VARCHAR, 5, '0') || '_' || category || '_' || intent AS id, 'basic' AS type, q AS query, category AS expected_category, intent AS expected_intent FROM r WHERE length(q) >= 3 QUALIFY row_number() OVER (PARTITION BY lower(q) ORDER BY pos) = 1
+UNION ALL SELECT 'boundary_short_' || category || '_' || intent || '_' || lpad(pos::VARCHAR, 5, '0'), 'boundary', q, category, intent FROM s WHERE q <> ''
+UNION ALL SELECT 'boundary_long_' || category || '_' || intent || '_' || lpad(pos::VARCHAR, 5, '0'), 'boundary', q, category, intent FROM l
+UNION ALL SELECT 'multiturn_' || category, 'multiturn', q, category, intent FROM f QUALIFY row_number() OVER (PARTITION BY category ORDER BY pos) = 2""")
+def eval_cases_full(spark, d):
+    cut = F.left("text", (F.col("doc_id") % 90 + 5).cast("int"))
+    return D.evaluation_cases_full(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("category"), F.col("lang").alias("intent"), cut.alias("instruction")))
+
+
 _TRIPLES = """pool AS (SELECT doc_id AS chunk_id, source AS page_name FROM documents), pos AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS page_name FROM benchmark),
 shown AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark, documents WHERE doc_id % 40 = item_id % 40),
 hard AS (SELECT query_id, chunk_id FROM (SELECT pos.query_id, pool.chunk_id FROM pos JOIN pool USING (page_name)) x WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.query_id = x.query_id AND s.chunk_id = x.chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 2)"""
