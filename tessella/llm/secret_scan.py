@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_sample, texts_of
+from tessella.llm.common import bounded_sample, small_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -361,5 +361,6 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document."""
     from tessella.session import table
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return scan(docs, fit(docs))
