@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_sample, in_pieces, texts_of
+from tessella.llm.common import bounded_sample, in_pieces, small_batches, texts_of
 from tessella.llm.features import Adam, byte_ngrams, hash_words, platt, sigmoid
 
 WORD_BITS, GRAM_BITS, ORDERS = 16, 12, (2, 3, 4)
@@ -165,5 +165,6 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     from tessella.session import table
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
