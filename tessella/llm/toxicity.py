@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_sample, held_out, in_pieces, texts_of
+from tessella.llm.common import bounded_sample, held_out, in_pieces, small_batches, texts_of
 from tessella.llm.features import hash_words, sigmoid
 
 BITS = 18
@@ -224,6 +224,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     from tessella.session import table
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_offending", "top_sentence")
