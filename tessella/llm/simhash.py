@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Workspace, fresh_name, in_pieces
+from tessella.llm.common import Workspace, fresh_name, in_pieces, small_batches
 from tessella.llm.components import connected_components
 
 RADIUS = 2
@@ -142,7 +142,8 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     joined = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "lo")
     least = joined.groupBy("root").agg(F.min("lo").alias("least"))
     linked = work.keep(joined.join(least, "root").select("fp", "least"), "linked")
-    final = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "lo").alias("component_id"))
+    # a table of its own, so that the join below has two plain shuffles and a frequent fingerprint can be split
+    final = work.keep(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "lo").alias("component_id")), "final")
     return marked.join(final, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
@@ -214,8 +215,8 @@ def group_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     close = bits.join(first.toDF("a", "a_node"), "a").join(first.toDF("b", "b_node"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     links = equal.unionByName(close).unionByName(similar_links(work, nodes, similarity, crowd=crowd))
     roots = work.keep(connected_components(work, links), "roots")
-    rooted = named.select("doc_id", "text_hash", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    rooted = work.keep(named.select("doc_id", "text_hash", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = work.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rooted.join(least, "root").select("doc_id", "text_hash", "fp", "component_id", F.col("root").alias("component"))
 
 
@@ -242,5 +243,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     from tessella.session import table
 
+    small_batches(spark)
     out = group(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
