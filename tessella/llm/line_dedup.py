@@ -173,7 +173,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     moved = work.keep(roots.where("node <> root").select(as_long(1).alias("h1"), as_long(17).alias("h2"), as_root(1).alias("r1"), as_root(17).alias("r2")), "moved")
     classed = placed.join(moved, ["h1", "h2"], "left").select("doc_id", "text_hash", "pos", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"))
     place = F.struct("doc_id", "text_hash", "pos")
-    first = classed.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join below has two plain shuffles and a frequent line can be split
+    first = work.keep(classed.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = classed.join(first, ["c1", "c2"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
