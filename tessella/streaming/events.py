@@ -73,3 +73,21 @@ def last_n(spark: SparkSession, stream: DataFrame, path: str, n: int = 1000):
         rows.dropDuplicates(["event_id"]).orderBy(F.desc("ts"), F.desc("event_id")).limit(n).write.mode("overwrite").parquet(target)
 
     return stream.writeStream.foreachBatch(merge)
+
+
+def conversation_sizes(turns: DataFrame, *, window_tokens: int = 128_000, share: float = 0.8) -> DataFrame:
+    """(conv_id, turns, tokens, compress) of each conversation with new turns, after every trigger.
+
+    A turn counts a quarter of its characters and four tokens; ``compress`` says that the
+    conversation has reached ``share`` of the window. Two numbers are kept a conversation.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, tokens = state.get if state.exists else (0, 0)
+        for batch in batches:
+            n += len(batch)
+            tokens += int((batch["text"].fillna("").str.len() // 4 + 4).sum())
+        state.update((n, tokens))
+        yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "tokens": [tokens], "compress": [tokens >= share * window_tokens]})
+
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns long, tokens long, compress boolean", "turns long, tokens long", "update", "NoTimeout")

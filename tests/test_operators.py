@@ -235,3 +235,15 @@ def test_folder_stream_ingests_each_file_once(spark, tmp_path):
     run()
     run()
     assert tuple(corpus.stats().first()) == (3, 4) and corpus.versions.count() == 3
+
+
+def test_conversation_sizes_add_up_over_triggers(spark, sf_dir, tmp_path):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    for i in range(2):
+        turns.where(F.col("turn") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = E.conversation_sizes(stream, window_tokens=200).writeStream.format("memory").queryName("sizes").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(120)
+    got = {r.conv_id: (r.turns, r.tokens) for r in spark.table("sizes").groupBy("conv_id").agg(F.max("turns").alias("turns"), F.max("tokens").alias("tokens")).collect()}
+    want = {r.conv_id: (r.n, r.t) for r in turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(T.token_estimate(F.col("text")) + 4).alias("t")).collect()}
+    assert got == want and {r.compress for r in spark.table("sizes").collect()} == {True, False}
