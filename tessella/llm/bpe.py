@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessella.llm.common import MEMOS
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OFTEN, _ONCE = 300_000, 200_000
 #: Where a letter or digit meets a stop or comma: also a cut of the pattern.
@@ -134,12 +136,24 @@ class Bpe:
         return out
 
 
+_LOADED: set[str] = set()
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     """One encoder for each file and Python worker."""
+    _LOADED.add(path)
     return Bpe(path)
 
 
+def _forget() -> None:
+    for path in _LOADED:
+        load(path).memo, load(path).once = {}, {}
+
+
+MEMOS["bpe"] = _forget
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public tokenizer file on this machine."""
     import public_tokenizers

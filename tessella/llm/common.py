@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
+#: What drops the memo of a module in this Python worker, by module.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def begin_task(module: str) -> None:
+    """Called where a kernel begins: workers are used again, so other modules' memos and freed memory go first."""
+    for name, drop in MEMOS.items():
+        if name != module:
+            drop()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Workspace:
     """Work tables of one query: written once, read back, and so cut off from their lineage."""
 

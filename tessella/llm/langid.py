@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out, in_pieces, small_batches, texts_of
+from tessella.llm.common import begin_task, held_out, in_pieces, small_batches, texts_of
 from tessella.llm.features import Adam, ngram_counts, platt, sigmoid
 
 UND = "und"
@@ -105,7 +105,7 @@ class Identifier:
         langs, scores = [UND] * len(texts), np.zeros(len(texts))
         if not self.families:
             return langs, scores
-        for rows in in_pieces(texts, 1_000_000):
+        for rows in in_pieces(texts, 500_000):
             own = [texts[i] for i in rows]
             x = vectors(own)
             if self.first:
@@ -161,6 +161,7 @@ def identify(docs: DataFrame, model: Identifier, *, id_col: str = "doc_id", text
     """(doc_id, lang_pred, score) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("langid")
         for batch in batches:
             langs, scores = model.predict(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
@@ -173,6 +174,7 @@ def keep_identified(docs: DataFrame, model: Identifier, *, text_col: str = "text
     """The rows of ``docs`` whose language is known with a score of ``least`` or more; columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("langid")
         for batch in batches:
             langs, scores = model.predict(texts_of(batch.column(batch.schema.names.index(text_col))))
             yield batch.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores)], pa.bool_()))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_sample, small_batches, texts_of
+from tessella.llm.common import begin_task, bounded_sample, small_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -347,6 +347,7 @@ def redact(docs: DataFrame, field: Field, *, text_col: str = "text", mark: str =
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("secret_scan")
         for batch in batches:
             names = batch.schema.names
             i = names.index(text_col)

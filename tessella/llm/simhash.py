@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Workspace, fresh_name, in_pieces, small_batches
+from tessella.llm.common import Workspace, begin_task, fresh_name, in_pieces, small_batches, texts_of
 from tessella.llm.components import connected_components
 
 RADIUS = 2
@@ -54,28 +54,36 @@ def _hashes(text: str, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
 
 
-def fingerprints(texts: list[str], width: int = 3) -> np.ndarray:
-    """SimHash of each text as signed 64-bit integers."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for rows in in_pieces(texts, 1_000_000):
-        each = [_hashes(texts[i], width) for i in rows]
-        full = [k for k, h in enumerate(each) if len(h)]
-        if not full:
-            continue
+def _fold(each: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each array of hashes, as signed 64-bit integers."""
+    out = np.zeros(len(each), dtype=np.uint64)
+    full = [k for k, h in enumerate(each) if len(h)]
+    if full:
         sizes = np.array([len(each[k]) for k in full])
         bits = np.unpackbits(np.concatenate([each[k] for k in full]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int32)
-        packed = np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little")
-        out[np.array(rows)[full]] = packed.view("<u8").ravel()
+        out[full] = np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out.astype(np.int64)
 
 
+def fingerprints(texts: list[str], width: int = 3, sketch: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """SimHash of each text, and the ``sketch`` least of its distinct shingle hashes."""
+    found, least = [np.empty(0, np.int64)], []
+    for rows in in_pieces(texts, 500_000):
+        each = [_hashes(texts[i], width) for i in rows]
+        found.append(_fold(each))
+        if sketch:
+            least += [np.unique(h.view(np.int64))[:sketch] for h in each]
+    return np.concatenate(found), least
+
+
 def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("simhash")
         for batch in batches:
-            fp = fingerprints([t or "" for t in batch.column(2).to_pylist()], width)
+            fp, _ = fingerprints(texts_of(batch.column(2)), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
     text = F.col(text_col).cast("string")
@@ -151,10 +159,10 @@ def with_sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, text_hash, fp, sketch) for each row; the sketch is the ``SKETCH`` least shingle hashes, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("simhash")
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            least = [np.unique(_hashes(t, width).view(np.int64))[:SKETCH] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(texts, width)), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "sketch"])
+            fp, least = fingerprints(texts_of(batch.column(2)), width, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "sketch"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
