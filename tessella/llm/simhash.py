@@ -169,18 +169,34 @@ def with_sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, sketch array<bigint>")
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two shingle sets from their sketches.
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(node, shingles) for the texts whose hash is a ``node`` of ``wanted``: all distinct shingle hashes."""
 
-    Exact where both sets fit into one sketch; of larger sets an estimate with a standard
-    error of about 0.035 at 0.8.
-    """
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(both) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("simhash")
+        for batch in batches:
+            found = [np.unique(_hashes(t, width).view(np.int64)) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    return texts.join(wanted.distinct(), "node", "left_semi").mapInArrow(run, "node long, shingles array<bigint>")
+
+
+def _verified(work: Workspace, docs: DataFrame, wanted: DataFrame, similarity: float, text_col: str, width: int) -> DataFrame:
+    """The pairs (a, b) of ``wanted`` whose whole shingle sets have Jaccard similarity ``similarity`` or more."""
+    pairs = work.keep(wanted.distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = work.keep(_sets(docs, nodes, text_col, width), "sets")
+    read = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    links = work.keep(read.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b"), "similar")
+    work.drop(sets)
+    return links
 
 
-def similar_links(work: Workspace, nodes: DataFrame, similarity: float, *, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between ``nodes(node, fp, sketch)`` whose resemblance reaches ``similarity``.
+def similar_links(work: Workspace, docs: DataFrame, nodes: DataFrame, similarity: float, *, text_col: str = "text", width: int = 5, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between ``nodes(node, fp, sketch)`` whose Jaccard similarity reaches ``similarity``, all shingles counted.
 
     Candidates share one of the ``ANCHORS`` least hashes of their sketches (two sets of
     similarity s miss each other with a chance of about (1 - s) ** ANCHORS) and differ in at
@@ -200,10 +216,8 @@ def similar_links(work: Workspace, nodes: DataFrame, similarity: float, *, crowd
     drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "fp")).alias(f"hub{i}") for i in range(HUBS)]
     hubs = many.groupBy("anchor").agg(*drawn).select("anchor", F.array(*(F.struct(F.col(f"hub{i}.node").alias("hub"), F.col(f"hub{i}.fp").alias("hub_fp")) for i in range(HUBS))).alias("hubs"))
     through = many.join(hubs, "anchor").select("node", "fp", F.inline("hubs")).where((F.col("node") != F.col("hub")) & near(F.col("fp"), F.col("hub_fp")))
-    wanted = pairs.unionByName(through.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))).distinct()
-    sketches = nodes.select("node", "sketch")
-    read = wanted.join(sketches.toDF("u", "u_sketch"), "u").join(sketches.toDF("v", "v_sketch"), "v")
-    return read.where(resemblance(F.col("u_sketch"), F.col("v_sketch")) >= similarity).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    wanted = pairs.unionByName(through.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")))
+    return _verified(work, docs, wanted.toDF("a", "b"), similarity, text_col, width)
 
 
 def group_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
@@ -214,14 +228,13 @@ def group_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     work = Workspace(docs.sparkSession)
     marked = work.keep(with_sketches(docs, id_col=id_col, text_col=text_col, width=width), "sketches")
-    node = F.concat(F.lpad(F.hex("fp"), 16, "0"), F.lpad(F.hex("text_hash"), 16, "0"))
-    named = marked.withColumn("node", F.coalesce(node, F.lpad(F.hex("fp"), 16, "0")))
+    named = marked.withColumn("node", F.col("text_hash"))
     nodes = work.keep(named.select("node", "fp", "sketch").dropDuplicates(["node"]), "nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     equal = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     bits = link(work, first.select("fp"), crowd=crowd)
     close = bits.join(first.toDF("a", "a_node"), "a").join(first.toDF("b", "b_node"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    links = equal.unionByName(close).unionByName(similar_links(work, nodes, similarity, crowd=crowd))
+    links = equal.unionByName(close).unionByName(similar_links(work, docs, nodes, similarity, text_col=text_col, width=width, crowd=crowd))
     roots = work.keep(connected_components(work, links), "roots")
     rooted = work.keep(named.select("doc_id", "text_hash", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = work.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")

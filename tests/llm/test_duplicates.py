@@ -167,3 +167,22 @@ def test_similar_groups_hold_every_similar_pair(spark):
     crowded = simhash.group_similar(docs, crowd=2).collect()
     assert len({r.component for r in crowded}) <= len({r.component for r in got}) + 2
     assert simhash.group_similar(docs.limit(0)).count() == 0
+
+
+def same_groups(docs, rows, **options):
+    """Whether groups are exactly the components of pairs of similarity 0.8 or fingerprints within two bits."""
+    fps = [plain_fingerprint(t, 5) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8 or bin(fps[i] ^ fps[j]).count("1") <= 2]
+    root = plain_components(list(range(len(rows))), links)
+    got = {r.doc_id: r.component for r in simhash.group_similar(docs, **options).collect()}
+    of = lambda names: sorted(sorted(i for i in names if names[i] == c) for c in set(names.values()))
+    return of(got) == of(root)
+
+
+def test_similar_links_are_exact_near_the_threshold(spark):
+    rows = []
+    for i in range(40):
+        words = ["d%dw%d" % (i, k) for k in range(1004)]
+        m = 100 + i  # a run of m new words at the end: (1000 - m) shared of 1000 + m shingles
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 1004 - m] + ["n%dw%d" % (i, k) for k in range(m)]))]
+    assert same_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
