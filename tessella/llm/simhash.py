@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Workspace, begin_task, fresh_name, in_pieces, small_batches, texts_of
+from tessella.llm.common import Workspace, begin_task, bounded_sample, fresh_name, in_pieces, small_batches, texts_of
 from tessella.llm.components import connected_components
 
 RADIUS = 2
 SEGMENTS = 5
 CROWD = 64
-#: Of the similarity search: hashes in a sketch, anchors among them, members an anchor's node meets, bits that may differ.
-SKETCH, ANCHORS, HUBS, WIDE_RADIUS = 128, 4, 8, 22
+#: Of the similarity search: members that a crowded anchor's nodes meet first, documents sampled for common shingles, most of these.
+HUBS, SAMPLE, COMMON = 4, 4000, 100_000
 
 
 def _hashes(text: str, width: int) -> np.ndarray:
@@ -66,15 +66,15 @@ def _fold(each: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def fingerprints(texts: list[str], width: int = 3, sketch: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
-    """SimHash of each text, and the ``sketch`` least of its distinct shingle hashes."""
-    found, least = [np.empty(0, np.int64)], []
+def fingerprints(texts: list[str], width: int = 3, sets: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """SimHash of each text, and with ``sets`` its distinct shingle hashes, ascending."""
+    found, distinct = [np.empty(0, np.int64)], []
     for rows in in_pieces(texts, 500_000):
         each = [_hashes(texts[i], width) for i in rows]
         found.append(_fold(each))
-        if sketch:
-            least += [np.unique(h.view(np.int64))[:sketch] for h in each]
-    return np.concatenate(found), least
+        if sets:
+            distinct += [np.unique(h.view(np.int64)) for h in each]
+    return np.concatenate(found), distinct
 
 
 def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -155,18 +155,52 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     return marked.join(final, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def with_sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, text_hash, fp, sketch) for each row; the sketch is the ``SKETCH`` least shingle hashes, ascending."""
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarray:
+    """Shingle hashes that several of ``SAMPLE`` documents share, the most frequent last, at most ``COMMON`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("simhash")
         for batch in batches:
-            fp, least = fingerprints(texts_of(batch.column(2)), width, SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "sketch"])
+            for text in texts_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(text, width).view(np.int64)))], names=["h"])
+
+    rows = bounded_sample(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", SAMPLE)
+    found = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array([r.h for r in reversed(found)], dtype=np.int64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of ``n`` distinct shingles, those of ``common`` last.
+
+    Two sets of Jaccard similarity ``similarity`` or more share ``similarity * n`` of either's
+    shingles, so whatever the order, if it is one for all sets, their prefixes meet.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    order = np.zeros(n, dtype=np.int64)
+    if len(common):
+        by_hash = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[by_hash], shingles), len(common) - 1)
+        order = np.where(common[by_hash][at] == shingles, by_hash[at] + 1, 0)
+    return shingles[np.argsort(order, kind="stable")][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+
+
+def with_prefixes(docs: DataFrame, common: np.ndarray, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, text_hash, fp, n, prefix) for each row; n is the number of distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("simhash")
+        for batch in batches:
+            fp, sets = fingerprints(texts_of(batch.column(2)), width, sets=True)
+            firsts = [prefix(x, similarity, common) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "n", "prefix"]
+            )
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, sketch array<bigint>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -195,46 +229,49 @@ def _verified(work: Workspace, docs: DataFrame, wanted: DataFrame, similarity: f
     return links
 
 
-def similar_links(work: Workspace, docs: DataFrame, nodes: DataFrame, similarity: float, *, text_col: str = "text", width: int = 5, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between ``nodes(node, fp, sketch)`` whose Jaccard similarity reaches ``similarity``, all shingles counted.
+def similar_links(work: Workspace, docs: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float, *, text_col: str = "text", width: int = 5, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that, with ``known``, connect all ``nodes(node, n, prefix)`` of Jaccard similarity ``similarity`` or more.
 
-    Candidates share one of the ``ANCHORS`` least hashes of their sketches (two sets of
-    similarity s miss each other with a chance of about (1 - s) ** ANCHORS) and differ in at
-    most ``WIDE_RADIUS`` bits of their fingerprints. Anchors of more than ``crowd`` nodes are
-    not paired: each of their nodes meets ``HUBS`` members, drawn by hash, of each anchor, so
-    rows stay in proportion to nodes and a large group holds together through its hubs.
+    Every such pair shares an anchor, a shingle of both prefixes, and sizes within
+    ``similarity`` of each other. Anchors of at most ``crowd`` nodes are paired. Larger ones
+    first meet ``HUBS`` of their members; that is an approximation for such anchors.
     """
-    keyed = nodes.select("node", "fp", F.explode(F.slice("sketch", 1, ANCHORS)).alias("anchor"))
-    met = keyed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = nodes.select("node", "n", F.explode("prefix").alias("anchor"))
+    met = keyed.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1")
     shared = work.keep(keyed.join(met, "anchor"), "anchors")
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= WIDE_RADIUS
-    few = shared.where(F.col("n") <= crowd)
-    a, b = few.alias("a"), few.alias("b")
-    same = (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.node") < F.col("b.node")) & near(F.col("a.fp"), F.col("b.fp"))
-    pairs = a.join(b, same).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    many = shared.where(F.col("n") > crowd).select("anchor", "node", "fp")
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "fp")).alias(f"hub{i}") for i in range(HUBS)]
-    hubs = many.groupBy("anchor").agg(*drawn).select("anchor", F.array(*(F.struct(F.col(f"hub{i}.node").alias("hub"), F.col(f"hub{i}.fp").alias("hub_fp")) for i in range(HUBS))).alias("hubs"))
-    through = many.join(hubs, "anchor").select("node", "fp", F.inline("hubs")).where((F.col("node") != F.col("hub")) & near(F.col("fp"), F.col("hub_fp")))
-    wanted = pairs.unionByName(through.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")))
-    return _verified(work, docs, wanted.toDF("a", "b"), similarity, text_col, width)
+    sizes = lambda x, y: (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6)
+    few = shared.where(F.col("members") <= crowd)
+    x, y = few.alias("x"), few.alias("y")
+    same = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.node") < F.col("y.node")) & sizes(F.col("x.n"), F.col("y.n"))
+    pairs = x.join(y, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = work.keep(shared.where(F.col("members") > crowd).select("anchor", "node", "n"), "crowded")
+    # the members with most crowded anchors first: an original holds more of them than its copies
+    central = many.groupBy("node").agg(F.count("*").alias("held"))
+    drawn = [F.min(F.struct((-F.col("held")).alias("o"), F.xxhash64("node").alias("h"), "node", "n")).alias("hub0")]
+    drawn += [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n")).alias(f"hub{i}") for i in range(1, HUBS)]
+    hubs = many.join(central, "node").groupBy("anchor").agg(*drawn).select("anchor", F.array(*(F.struct(F.col(f"hub{i}.node").alias("hub"), F.col(f"hub{i}.n").alias("hub_n")) for i in range(HUBS))).alias("hubs"))
+    through = many.join(hubs, "anchor").select("node", "n", F.inline("hubs")).where((F.col("node") != F.col("hub")) & sizes(F.col("n"), F.col("hub_n")))
+    links = _verified(work, docs, pairs.unionByName(through.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))), similarity, text_col, width)
+    return links
 
 
 def group_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id): groups by fingerprint links and by resemblance of ``similarity`` or more.
+    """(doc_id, text_hash, fp, component_id): groups by fingerprint links and by Jaccard similarity of ``similarity`` or more.
 
     A radius of 2 of 64 bits alone finds few pairs of similarity 0.8, which differ in about
-    ten bits; those come from :func:`similar_links`.
+    ten bits; those come from :func:`similar_links`. A node is a distinct text, named by its hash.
     """
     work = Workspace(docs.sparkSession)
-    marked = work.keep(with_sketches(docs, id_col=id_col, text_col=text_col, width=width), "sketches")
+    common = _common_shingles(docs, id_col, text_col, width)
+    marked = work.keep(with_prefixes(docs, common, similarity, id_col=id_col, text_col=text_col, width=width), "prefixes")
     named = marked.withColumn("node", F.col("text_hash"))
-    nodes = work.keep(named.select("node", "fp", "sketch").dropDuplicates(["node"]), "nodes")
+    nodes = work.keep(named.select("node", "fp", "n", "prefix").dropDuplicates(["node"]), "nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     equal = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     bits = link(work, first.select("fp"), crowd=crowd)
     close = bits.join(first.toDF("a", "a_node"), "a").join(first.toDF("b", "b_node"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    links = equal.unionByName(close).unionByName(similar_links(work, docs, nodes, similarity, text_col=text_col, width=width, crowd=crowd))
+    known = work.keep(equal.unionByName(close), "known")
+    links = known.unionByName(similar_links(work, docs, nodes, known, similarity, text_col=text_col, width=width, crowd=crowd))
     roots = work.keep(connected_components(work, links), "roots")
     rooted = work.keep(named.select("doc_id", "text_hash", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = work.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")

@@ -186,3 +186,10 @@ def test_similar_links_are_exact_near_the_threshold(spark):
         m = 100 + i  # a run of m new words at the end: (1000 - m) shared of 1000 + m shingles
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 1004 - m] + ["n%dw%d" % (i, k) for k in range(m)]))]
     assert same_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_similar_sets_with_a_phrase_repeated(spark):
+    words = ["r%d" % k for k in range(300)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + ["again and again we go"] * 400))]
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8 and bin(plain_fingerprint(rows[0][1], 5) ^ plain_fingerprint(rows[1][1], 5)).count("1") > 22
+    assert same_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
