@@ -34,8 +34,8 @@ from tessella.llm.components import connected_components
 RADIUS = 2
 SEGMENTS = 5
 CROWD = 64
-#: Of the similarity search: members that a crowded anchor's nodes meet first, documents sampled for common shingles, most of these.
-HUBS, SAMPLE, COMMON = 4, 4000, 100_000
+#: Of the similarity search: members that an anchor's nodes meet first, documents sampled for common shingles, most of these, least bits of a set's parities.
+HUBS, SAMPLE, COMMON, PARITIES = 2, 4000, 100_000, 1024
 
 
 def _hashes(text: str, width: int) -> np.ndarray:
@@ -186,8 +186,19 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.nd
     return shingles[np.argsort(order, kind="stable")][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each hash class is odd, as 64-bit integers.
+
+    There are as many classes as shingles or more, a power of two. A bit in which two sets'
+    parities differ takes a shingle that only one of them has.
+    """
+    classes = max(PARITIES, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount(shingles & (classes - 1), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def with_prefixes(docs: DataFrame, common: np.ndarray, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, text_hash, fp, n, prefix) for each row; n is the number of distinct shingles."""
+    """(doc_id, text_hash, fp, n, odd, prefix) for each row; n is the number of distinct shingles, odd their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("simhash")
@@ -195,12 +206,13 @@ def with_prefixes(docs: DataFrame, common: np.ndarray, similarity: float, *, id_
             fp, sets = fingerprints(texts_of(batch.column(2)), width, sets=True)
             firsts = [prefix(x, similarity, common) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "n", "prefix"]
+                [batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "fp", "n", "odd", "prefix"],
             )
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, prefix array<bigint>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, odd array<bigint>, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -217,11 +229,28 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> Data
     return texts.join(wanted.distinct(), "node", "left_semi").mapInArrow(run, "node long, shingles array<bigint>")
 
 
-def _verified(work: Workspace, docs: DataFrame, wanted: DataFrame, similarity: float, text_col: str, width: int) -> DataFrame:
-    """The pairs (a, b) of ``wanted`` whose whole shingle sets have Jaccard similarity ``similarity`` or more."""
-    pairs = work.keep(wanted.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    sets = work.keep(_sets(docs, nodes, text_col, width), "sets")
+def _odd_apart(a: Column, b: Column) -> Column:
+    """Bits in which two sets' parities differ; the longer is folded once to the shorter's length."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    least = F.least(F.size(a), F.size(b))
+    fold = lambda c: F.when(F.size(c) > least, F.zip_with(F.slice(c, F.lit(1), least), F.slice(c, least + 1, least), xor)).otherwise(c)
+    return F.aggregate(F.zip_with(fold(a), fold(b), xor), F.lit(0), lambda n, x: n + F.bit_count(x).cast("int"))
+
+
+def _verified(work: Workspace, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, similarity: float, text_col: str, width: int) -> DataFrame:
+    """The pairs (a, b) of ``wanted`` whose whole shingle sets have Jaccard similarity ``similarity`` or more.
+
+    Sets of ``x`` and ``y`` shingles of that similarity differ in (1 - s) / (1 + s) * (x + y)
+    shingles at most, and so in that many parities; other pairs go before the sets are read.
+    """
+    odds = nodes.select("node", "n", "odd")
+    marked = wanted.distinct().join(odds.toDF("a", "a_n", "a_odd"), "a").join(odds.toDF("b", "b_n", "b_odd"), "b")
+    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    # classes differ by more than one doubling only at similarities below 0.5, where nothing goes
+    unlike = F.greatest(F.size("a_odd"), F.size("b_odd")) > 2 * F.least(F.size("a_odd"), F.size("b_odd"))
+    pairs = work.keep(marked.where(unlike | (_odd_apart(F.col("a_odd"), F.col("b_odd")) <= bound)).select("a", "b"), "pairs")
+    read = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = work.keep(_sets(docs, read, text_col, width), "sets")
     read = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
     both = F.size(F.array_intersect("a_set", "b_set"))
     links = work.keep(read.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b"), "similar")
@@ -230,29 +259,40 @@ def _verified(work: Workspace, docs: DataFrame, wanted: DataFrame, similarity: f
 
 
 def similar_links(work: Workspace, docs: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float, *, text_col: str = "text", width: int = 5, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that, with ``known``, connect all ``nodes(node, n, prefix)`` of Jaccard similarity ``similarity`` or more.
+    """Links (a, b) that, with ``known``, connect all ``nodes(node, n, odd, prefix)`` of Jaccard similarity ``similarity`` or more.
 
     Every such pair shares an anchor, a shingle of both prefixes, and sizes within
-    ``similarity`` of each other. Anchors of at most ``crowd`` nodes are paired. Larger ones
-    first meet ``HUBS`` of their members; that is an approximation for such anchors.
+    ``similarity`` of each other. The nodes of an anchor first meet ``HUBS`` of them; which
+    ones does not matter for the result. Pairs whose nodes the links so far have connected
+    need no comparison; all others are compared.
     """
     keyed = nodes.select("node", "n", F.explode("prefix").alias("anchor"))
-    met = keyed.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1")
-    shared = work.keep(keyed.join(met, "anchor"), "anchors")
+    met = keyed.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1").select("anchor")
+    many = work.keep(keyed.join(met, "anchor"), "anchors")
     sizes = lambda x, y: (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6)
-    few = shared.where(F.col("members") <= crowd)
-    x, y = few.alias("x"), few.alias("y")
-    same = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.node") < F.col("y.node")) & sizes(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    many = work.keep(shared.where(F.col("members") > crowd).select("anchor", "node", "n"), "crowded")
-    # the members with most crowded anchors first: an original holds more of them than its copies
+    # the members with most shared anchors first: an original holds more of them than its copies
     central = many.groupBy("node").agg(F.count("*").alias("held"))
     drawn = [F.min(F.struct((-F.col("held")).alias("o"), F.xxhash64("node").alias("h"), "node", "n")).alias("hub0")]
     drawn += [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n")).alias(f"hub{i}") for i in range(1, HUBS)]
     hubs = many.join(central, "node").groupBy("anchor").agg(*drawn).select("anchor", F.array(*(F.struct(F.col(f"hub{i}.node").alias("hub"), F.col(f"hub{i}.n").alias("hub_n")) for i in range(HUBS))).alias("hubs"))
     through = many.join(hubs, "anchor").select("node", "n", F.inline("hubs")).where((F.col("node") != F.col("hub")) & sizes(F.col("n"), F.col("hub_n")))
-    links = _verified(work, docs, pairs.unionByName(through.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))), similarity, text_col, width)
-    return links
+    links = _verified(work, docs, nodes, through.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), similarity, text_col, width)
+    roots = connected_components(work, known.unionByName(links))
+    rooted = work.keep(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "anchor_roots")
+    work.drop(many)
+    mixed = rooted.groupBy("anchor").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    # each anchor's nodes in blocks of ``crowd`` or so, each block meeting every other once: no anchor is one task
+    blocks = F.ceil(F.col("members") / crowd).cast("long")
+    parted = work.keep(rooted.join(mixed.select("anchor", blocks.alias("blocks")), "anchor").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks"))), "blocks")
+    work.drop(rooted)
+    each = parted.select("anchor", "node", "n", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cell = each.select("anchor", "node", "n", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    x, y = cell.alias("x"), cell.alias("y")
+    same = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    apart = (F.col("x.root") != F.col("y.root")) & sizes(F.col("x.n"), F.col("y.n"))
+    once = (F.col("x.block") < F.col("y.block")) | ((F.col("x.i") == F.col("x.j")) & (F.col("x.node") < F.col("y.node")))
+    rest = x.join(y, same & apart & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return links.unionByName(_verified(work, docs, nodes, rest, similarity, text_col, width))
 
 
 def group_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
@@ -265,7 +305,7 @@ def group_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     common = _common_shingles(docs, id_col, text_col, width)
     marked = work.keep(with_prefixes(docs, common, similarity, id_col=id_col, text_col=text_col, width=width), "prefixes")
     named = marked.withColumn("node", F.col("text_hash"))
-    nodes = work.keep(named.select("node", "fp", "n", "prefix").dropDuplicates(["node"]), "nodes")
+    nodes = work.keep(named.select("node", "fp", "n", "odd", "prefix").dropDuplicates(["node"]), "nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     equal = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     bits = link(work, first.select("fp"), crowd=crowd)

@@ -179,6 +179,25 @@ def same_groups(docs, rows, **options):
     return of(got) == of(root)
 
 
+def test_similar_groups_of_crowded_anchors_are_exact(spark):
+    rng = random.Random(4)
+    shared = ["p%d" % i for i in range(70)]
+    texts = [" ".join(shared + ["o%d_%d" % (i, k) for k in range(rng.randint(2, 40))]) for i in range(40)]
+    base = ["b%d" % i for i in range(104)]
+    for i in range(20):  # 0.8 or so to the original, less to each other
+        words = list(base)
+        for k in range(2):
+            words[(i * 5 + k * 47) % 104] = "x%d_%d" % (i, k)
+        words[104 - 1 - i % 3] = "y%d" % i
+        texts.append(" ".join(words))
+    texts.append(" ".join(base))
+    words = ["s%d" % i for i in range(1500)]
+    texts += [" ".join(words[i * 10 : i * 10 + 104]) for i in range(120)]  # each is 0.8 or more to the next only
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert same_groups(docs, rows, crowd=2) and same_groups(docs, rows)
+
+
 def test_similar_links_are_exact_near_the_threshold(spark):
     rows = []
     for i in range(40):
