@@ -62,6 +62,20 @@ def begin_task(module: str) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` set to ``value`` for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Workspace:
     """Work tables of one query: written once, read back, and so cut off from their lineage."""
 
@@ -69,10 +83,14 @@ class Workspace:
         self.spark, self.folder, self.count = spark, work_folder(spark), 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` as Parquet in the shared folder and return it read back."""
+        """Write ``df`` as Parquet in the shared folder and return it read back.
+
+        Spark deletes the shuffle files of the write as soon as it ends: nothing reads them again.
+        """
         self.count += 1
         path = f"{self.folder}/{self.count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
         return out

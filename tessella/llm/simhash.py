@@ -34,8 +34,10 @@ from tessella.llm.components import connected_components
 RADIUS = 2
 SEGMENTS = 5
 CROWD = 64
-#: Of the similarity search: members that an anchor's nodes meet first, documents sampled for common shingles, most of these, least bits of a set's parities.
-HUBS, SAMPLE, COMMON, PARITIES = 2, 4000, 100_000, 1024
+#: Of the similarity search: members that an anchor's nodes meet first, documents sampled for common shingles, most of these, bits of the short parities.
+HUBS, SAMPLE, COMMON, SHORT = 2, 4000, 100_000, 512
+#: Nodes whose texts are to be compared are broadcast up to this number, 8 bytes each; beyond it they are joined by shuffles.
+BROADCAST_NODES = 1_000_000
 
 
 def _hashes(text: str, width: int) -> np.ndarray:
@@ -186,37 +188,48 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.nd
     return shingles[np.argsort(order, kind="stable")][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether the number of shingles in each hash class is odd, as 64-bit integers.
+def parities(shingles: np.ndarray, classes: int) -> np.ndarray:
+    """Whether the number of shingles in each of ``classes`` hash classes is odd, as 64-bit integers.
 
-    There are as many classes as shingles or more, a power of two. A bit in which two sets'
-    parities differ takes a shingle that only one of them has.
+    ``classes`` is a power of two. A bit in which two sets' parities differ takes a shingle
+    that only one of them has.
     """
-    classes = max(PARITIES, 1 << max(0, len(shingles) - 1).bit_length())
     odd = np.bincount(shingles & (classes - 1), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _long_parities(shingles: np.ndarray) -> np.ndarray | None:
+    """Parities in as many classes as shingles or more, for sets that ``SHORT`` bits are too few for."""
+    n = len(shingles)
+    return parities(shingles, 1 << (n - 1).bit_length()) if n > SHORT else None
+
+
+_MARKS = "doc_id long, text_hash long, fp long, n long, prefix array<bigint>, odd array<bigint>, " + ", ".join(f"p{k} long" for k in range(SHORT // 64))
+
+
 def with_prefixes(docs: DataFrame, common: np.ndarray, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, text_hash, fp, n, odd, prefix) for each row; n is the number of distinct shingles, odd their parities."""
+    """(doc_id, text_hash, fp, n, prefix, odd, p0 and so on) for each row.
+
+    n is the number of distinct shingles; p0 and so on are their parities in ``SHORT`` classes, odd those of long sets.
+    """
+    names = [f.split()[0] for f in _MARKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("simhash")
         for batch in batches:
             fp, sets = fingerprints(texts_of(batch.column(2)), width, sets=True)
-            firsts = [prefix(x, similarity, common) for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "fp", "n", "odd", "prefix"],
-            )
+            longs = pa.list_(pa.int64())
+            short = np.stack([parities(x, SHORT) for x in sets]) if sets else np.zeros((0, SHORT // 64), np.int64)
+            cols = [batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, similarity, common) for x in sets], longs), pa.array([_long_parities(x) for x in sets], longs)]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(short[:, k]) for k in range(SHORT // 64))], names=names)
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, odd array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(run, _MARKS)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(node, shingles) for the texts whose hash is a ``node`` of ``wanted``: all distinct shingle hashes."""
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) for the ``texts(node, text)`` whose node is in ``wanted``: all distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("simhash")
@@ -224,9 +237,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> Data
             found = [np.unique(_hashes(t, width).view(np.int64)) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    return texts.join(wanted.distinct(), "node", "left_semi").mapInArrow(run, "node long, shingles array<bigint>")
+    few = wanted.count() <= BROADCAST_NODES
+    one = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return one.mapInArrow(run, "node long, shingles array<bigint>")
 
 
 def _odd_apart(a: Column, b: Column) -> Column:
@@ -237,94 +250,160 @@ def _odd_apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), xor), F.lit(0), lambda n, x: n + F.bit_count(x).cast("int"))
 
 
-def _verified(work: Workspace, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, similarity: float, text_col: str, width: int) -> DataFrame:
-    """The pairs (a, b) of ``wanted`` whose whole shingle sets have Jaccard similarity ``similarity`` or more.
-
-    Sets of ``x`` and ``y`` shingles of that similarity differ in (1 - s) / (1 + s) * (x + y)
-    shingles at most, and so in that many parities; other pairs go before the sets are read.
+class _Search:
+    """The nodes of one similarity search, and the tests that a pair of them has to pass."""
+
+    def __init__(self, work: Workspace, texts: DataFrame, nodes: DataFrame, similarity: float, width: int):
+        self.work, self.texts, self.nodes, self.similarity, self.width = work, texts, nodes, similarity, width
+        self.short = [f"p{k}" for k in range(SHORT // 64)]
+
+    def may_be(self, x: str, y: str) -> Column:
+        """Sizes, and the short parities, that a pair of the wanted similarity can have.
+
+        Sets of ``m`` and ``n`` shingles of similarity ``s`` differ in (1 - s) / (1 + s) * (m + n)
+        shingles at most, and so in that many parities.
+        """
+        m, n = F.col(f"{x}n"), F.col(f"{y}n")
+        apart = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in self.short), F.lit(0))
+        return (F.least(m, n) >= self.similarity * F.greatest(m, n) - 1e-6) & (apart <= self.most_apart(m, n))
+
+    def most_apart(self, m: Column, n: Column) -> Column:
+        return (1 - self.similarity) / (1 + self.similarity) * (m + n) + 1e-6
+
+    def alike(self, wanted: DataFrame) -> DataFrame:
+        """The pairs (a, b) of ``wanted`` whose whole shingle sets have the similarity."""
+        pairs = self.work.keep(wanted.distinct(), "wanted")
+        odds = self.nodes.where("odd is not null").select("node", "n", "odd")
+        # classes differ by more than one doubling only at similarities below 0.5, where nothing goes
+        sizes = F.greatest(F.size("a_odd"), F.size("b_odd")) <= 2 * F.least(F.size("a_odd"), F.size("b_odd"))
+        far = sizes & (_odd_apart(F.col("a_odd"), F.col("b_odd")) > self.most_apart(F.col("a_n"), F.col("b_n")))
+        marked = pairs.join(odds.toDF("a", "a_n", "a_odd"), "a", "left").join(odds.toDF("b", "b_n", "b_odd"), "b", "left")
+        near = self.work.keep(marked.where(F.coalesce(~far, F.lit(True))).select("a", "b"), "near")
+        self.work.drop(pairs)
+        ends = self.work.keep(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "ends")
+        sets = self.work.keep(_sets(self.texts, ends, self.width), "sets")
+        read = near.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        links = self.work.keep(read.where(both / (F.size("a_set") + F.size("b_set") - both) >= self.similarity).select("a", "b"), "similar")
+        self.work.drop(near)
+        self.work.drop(sets)
+        return links
+
+
+def similar_links(work: Workspace, texts: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float, *, width: int = 5, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that, with ``known``, connect all ``nodes`` of Jaccard similarity ``similarity`` or more.
+
+    ``nodes`` are the distinct texts of ``texts(node, text)`` with the marks of :func:`with_prefixes`.
+    Every such pair shares an anchor, a shingle of both prefixes, and passes :meth:`_Search.may_be`.
+    The nodes of an anchor first meet ``HUBS`` of them; which ones does not matter for the
+    result. Pairs whose nodes the links so far have connected need no comparison; all others
+    are compared, an anchor's nodes in blocks, so that no anchor is one task's work.
     """
-    odds = nodes.select("node", "n", "odd")
-    marked = wanted.distinct().join(odds.toDF("a", "a_n", "a_odd"), "a").join(odds.toDF("b", "b_n", "b_odd"), "b")
-    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    # classes differ by more than one doubling only at similarities below 0.5, where nothing goes
-    unlike = F.greatest(F.size("a_odd"), F.size("b_odd")) > 2 * F.least(F.size("a_odd"), F.size("b_odd"))
-    pairs = work.keep(marked.where(unlike | (_odd_apart(F.col("a_odd"), F.col("b_odd")) <= bound)).select("a", "b"), "pairs")
-    read = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    sets = work.keep(_sets(docs, read, text_col, width), "sets")
-    read = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    links = work.keep(read.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b"), "similar")
-    work.drop(sets)
-    return links
-
-
-def similar_links(work: Workspace, docs: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float, *, text_col: str = "text", width: int = 5, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that, with ``known``, connect all ``nodes(node, n, odd, prefix)`` of Jaccard similarity ``similarity`` or more.
-
-    Every such pair shares an anchor, a shingle of both prefixes, and sizes within
-    ``similarity`` of each other. The nodes of an anchor first meet ``HUBS`` of them; which
-    ones does not matter for the result. Pairs whose nodes the links so far have connected
-    need no comparison; all others are compared.
-    """
-    keyed = nodes.select("node", "n", F.explode("prefix").alias("anchor"))
-    met = keyed.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1").select("anchor")
+    search = _Search(work, texts, nodes, similarity, width)
+    brief = ["node", "n", *search.short]
+    keyed = nodes.select("node", F.explode("prefix").alias("anchor"))
+    met = work.keep(keyed.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1").select("anchor"), "met")
     many = work.keep(keyed.join(met, "anchor"), "anchors")
-    sizes = lambda x, y: (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6)
+    work.drop(met)
     # the members with most shared anchors first: an original holds more of them than its copies
-    central = many.groupBy("node").agg(F.count("*").alias("held"))
-    drawn = [F.min(F.struct((-F.col("held")).alias("o"), F.xxhash64("node").alias("h"), "node", "n")).alias("hub0")]
-    drawn += [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n")).alias(f"hub{i}") for i in range(1, HUBS)]
-    hubs = many.join(central, "node").groupBy("anchor").agg(*drawn).select("anchor", F.array(*(F.struct(F.col(f"hub{i}.node").alias("hub"), F.col(f"hub{i}.n").alias("hub_n")) for i in range(HUBS))).alias("hubs"))
-    through = many.join(hubs, "anchor").select("node", "n", F.inline("hubs")).where((F.col("node") != F.col("hub")) & sizes(F.col("n"), F.col("hub_n")))
-    links = _verified(work, docs, nodes, through.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), similarity, text_col, width)
+    central = work.keep(many.groupBy("node").agg(F.count("*").alias("held")), "held")
+    drawn = [F.min(F.struct((-F.col("held")).alias("o"), F.xxhash64("node").alias("h"), "node")).alias("hub0")]
+    drawn += [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node")).alias(f"hub{i}") for i in range(1, HUBS)]
+    hubs = work.keep(many.join(central, "node").groupBy("anchor").agg(*drawn).select("anchor", F.array(*(F.col(f"hub{i}.node") for i in range(HUBS))).alias("hubs")), "hubs")
+    work.drop(central)
+    through = work.keep(many.join(hubs, "anchor").select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "through")
+    work.drop(hubs)
+    ends = nodes.select(*brief)
+    fit = through.join(ends.toDF("a", *(f"a_{c}" for c in brief[1:])), "a").join(ends.toDF("b", *(f"b_{c}" for c in brief[1:])), "b").where(search.may_be("a_", "b_"))
+    links = search.alike(fit.select("a", "b"))
+    work.drop(through)
     roots = connected_components(work, known.unionByName(links))
     rooted = work.keep(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "anchor_roots")
     work.drop(many)
-    mixed = rooted.groupBy("anchor").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    # each anchor's nodes in blocks of ``crowd`` or so, each block meeting every other once: no anchor is one task
-    blocks = F.ceil(F.col("members") / crowd).cast("long")
-    parted = work.keep(rooted.join(mixed.select("anchor", blocks.alias("blocks")), "anchor").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks"))), "blocks")
+    mixed = work.keep(rooted.groupBy("anchor").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("anchor", F.ceil(F.col("members") / crowd).cast("long").alias("blocks")), "mixed")
+    some = work.keep(rooted.join(mixed, "anchor").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks"))), "blocks")
     work.drop(rooted)
-    each = parted.select("anchor", "node", "n", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cell = each.select("anchor", "node", "n", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    x, y = cell.alias("x"), cell.alias("y")
-    same = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    apart = (F.col("x.root") != F.col("y.root")) & sizes(F.col("x.n"), F.col("y.n"))
-    once = (F.col("x.block") < F.col("y.block")) | ((F.col("x.i") == F.col("x.j")) & (F.col("x.node") < F.col("y.node")))
-    rest = x.join(y, same & apart & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return links.unionByName(_verified(work, docs, nodes, rest, similarity, text_col, width))
+    work.drop(mixed)
+    parted = work.keep(some.join(ends, "node"), "parted")
+    work.drop(some)
+    # each block meets every other once, in a cell of its own
+    each = parted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cell = each.select("anchor", "root", "block", *brief, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    x, y = cell.toDF(*(f"x_{c}" for c in cell.columns)), cell.toDF(*(f"y_{c}" for c in cell.columns))
+    same = (F.col("x_anchor") == F.col("y_anchor")) & (F.col("x_i") == F.col("y_i")) & (F.col("x_j") == F.col("y_j"))
+    once = (F.col("x_block") < F.col("y_block")) | ((F.col("x_i") == F.col("x_j")) & (F.col("x_node") < F.col("y_node")))
+    rest = x.join(y, same & (F.col("x_root") != F.col("y_root")) & once & search.may_be("x_", "y_"))
+    more = search.alike(rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")))
+    work.drop(parted)
+    return links.unionByName(more)
+
 
+def _once(marked: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the ids that one row has."""
+    return marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text_hash").alias("text_hash")).where("rows = 1").drop("rows")
 
-def group_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id): groups by fingerprint links and by Jaccard similarity of ``similarity`` or more.
+
+def group_similar(docs: DataFrame, *, earlier: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, component): groups by fingerprint links and by Jaccard similarity of ``similarity`` or more.
 
     A radius of 2 of 64 bits alone finds few pairs of similarity 0.8, which differ in about
     ten bits; those come from :func:`similar_links`. A node is a distinct text, named by its hash.
+
+    ``earlier`` may hold the documents as they were before they were edited. Where an id has
+    one row there and one here, its earlier text is a node too, and one group with its text:
+    documents then group by chains of like texts, whether now or before. Ids that are null,
+    missing or repeated on either side have no earlier text.
     """
     work = Workspace(docs.sparkSession)
-    common = _common_shingles(docs, id_col, text_col, width)
-    marked = work.keep(with_prefixes(docs, common, similarity, id_col=id_col, text_col=text_col, width=width), "prefixes")
-    named = marked.withColumn("node", F.col("text_hash"))
-    nodes = work.keep(named.select("node", "fp", "n", "odd", "prefix").dropDuplicates(["node"]), "nodes")
-    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    equal = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    source = docs if earlier is None else earlier
+    common = _common_shingles(source, id_col, text_col, width)
+    text = F.col(text_col).cast("string")
+    mark = lambda df: with_prefixes(df, common, similarity, id_col=id_col, text_col=text_col, width=width)
+    named = lambda df: df.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    marked, texts = work.keep(mark(docs), "marks"), named(docs)
+    if earlier is None:
+        rows, all_marks, own = work.keep(marked.select("doc_id", "text_hash", "fp"), "rows"), marked, None
+    else:
+        before = work.keep(mark(earlier), "marks_before")
+        both = _once(marked).join(_once(before).toDF("doc_id", "before"), "doc_id").where("text_hash <> before")
+        own = work.keep(both.select("text_hash", "before").distinct(), "own")
+        read = before.join(own.select(F.col("before").alias("text_hash")).distinct(), "text_hash", "left_semi").select(marked.columns)
+        rows, all_marks, texts = work.keep(marked.select("doc_id", "text_hash", "fp"), "rows"), marked.unionByName(read), texts.unionByName(named(earlier))
+    nodes = work.keep(all_marks.withColumnRenamed("text_hash", "node").drop("doc_id").dropDuplicates(["node"]), "nodes")
+    work.drop(marked)
+    if earlier is not None:
+        work.drop(before)
+    first = work.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    equal = nodes.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     bits = link(work, first.select("fp"), crowd=crowd)
     close = bits.join(first.toDF("a", "a_node"), "a").join(first.toDF("b", "b_node"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    known = work.keep(equal.unionByName(close), "known")
-    links = known.unionByName(similar_links(work, docs, nodes, known, similarity, text_col=text_col, width=width, crowd=crowd))
+    known = equal.unionByName(close)
+    known = work.keep(known if own is None else known.unionByName(own.toDF("a", "b")), "known")
+    links = known.unionByName(similar_links(work, texts, nodes, known, similarity, width=width, crowd=crowd))
+    work.drop(nodes)
     roots = work.keep(connected_components(work, links), "roots")
-    rooted = work.keep(named.select("doc_id", "text_hash", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = work.keep(rows.withColumn("node", F.col("text_hash")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    work.drop(rows)
     least = work.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rooted.join(least, "root").select("doc_id", "text_hash", "fp", "component_id", F.col("root").alias("component"))
 
 
 def _first_of_each(docs: DataFrame, grouped: DataFrame, component: str, id_col: str, text_col: str) -> DataFrame:
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    keepers = grouped.groupBy(component).agg(first).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_hash").alias("k_hash"))
-    key, h = fresh_name(docs.columns, "row_id"), fresh_name(docs.columns, "row_hash")
-    marked = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(keepers, marked[key].eqNullSafe(keepers["k_id"]) & (marked[h] == keepers["k_hash"]), "left_semi")
-    return kept.dropDuplicates([key, h]).drop(key, h)
+    work = Workspace(docs.sparkSession)
+    each = grouped.groupBy(component, "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")).alias("first")
+    keepers = work.keep(each.groupBy(component).agg(first).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_hash").alias("k_hash"), F.col("first.rows").alias("k_rows")), "keepers")
+    h = F.xxhash64(F.col(text_col).cast("string"))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return docs.join(some, F.col(id_col).cast("long").eqNullSafe(some["k_id"]) & (h == some["k_hash"]), "left_semi")
+
+    again = keepers.where("k_rows > 1")
+    if again.isEmpty():
+        return rows_of(keepers)
+    key, mark = fresh_name(docs.columns, "row_id"), fresh_name(docs.columns, "row_hash")
+    repeated = rows_of(again).withColumn(key, F.col(id_col).cast("long")).withColumn(mark, h)
+    return rows_of(keepers.where("k_rows = 1")).unionByName(repeated.dropDuplicates([key, mark]).drop(key, mark))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -332,9 +411,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     return _first_of_each(docs, group(docs, id_col=id_col, text_col=text_col, width=width), "component_id", id_col, text_col)
 
 
-def dedup_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one document of each component of :func:`group_similar`."""
-    return _first_of_each(docs, group_similar(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity), "component", id_col, text_col)
+def dedup_similar(docs: DataFrame, *, earlier: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of :func:`group_similar`: that with the least id, then text hash."""
+    return _first_of_each(docs, group_similar(docs, earlier=earlier, id_col=id_col, text_col=text_col, width=width, similarity=similarity), "component", id_col, text_col)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,4 @@
-import numpy as np
-import pyarrow.parquet as pq
+import random
 
 import corpus_pipeline as cp
 from tessella.llm import langid
@@ -13,6 +12,18 @@ def rows(df):
     return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
 
 
+def near_kept(inputs, before):
+    """The least id of each group of texts that are alike, as they are now or as they were."""
+    names = sorted({*inputs.values(), *(before[i] for i in inputs if i in before)})
+    fps = {t: plain_fingerprint(t, 5) for t in names}
+    links = [(a, b) for a in names for b in names if a < b and (jaccard(a, b) >= 0.8 or bin(fps[a] ^ fps[b]).count("1") <= 2)]
+    root = plain_components(names, links + [(t, before[i]) for i, t in inputs.items() if i in before])
+    least = {}
+    for i in sorted(inputs):
+        least.setdefault(root[inputs[i]], i)
+    return set(least.values())
+
+
 def test_stages_against_plain_versions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = cp.language(spark, docs, sf_dir)
@@ -30,15 +41,11 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert rows(second) == sorted(((i, b) for (i, a), (_, b) in zip(before, after) if a == b or b.strip()), key=str)
     assert all(r.n_chars == len(r.text) for r in second.collect())
 
-    third = cp.near_duplicates(spark, first, sf_dir)
-    inputs = {r.doc_id: r.text for r in first.collect()}
-    fps = {i: plain_fingerprint(t, 5) for i, t in inputs.items()}
-    ids = sorted(inputs)
-    alike = {(a, b): jaccard(inputs[a], inputs[b]) for a in ids for b in ids if a < b}
-    groups = lambda least: set(plain_components(ids, [p for p, j in alike.items() if j >= least or bin(fps[p[0]] ^ fps[p[1]]).count("1") <= 2]).values())
+    whole = cp.lines(spark, first, sf_dir)
+    third = cp.near_duplicates(spark, whole, sf_dir)
+    inputs = {r.doc_id: r.text for r in whole.collect()}
     got = {r.doc_id for r in third.collect()}
-    # long texts' similarity is estimated: what differs from the exact groups lies within three standard errors of 0.8
-    assert third.columns == docs.columns and groups(0.7) <= got <= groups(0.9)
+    assert third.columns == docs.columns and got == near_kept(inputs, texts)
     assert all(r.text == inputs[r.doc_id] for r in third.collect())
 
     fourth = cp.secrets(spark, third, sf_dir)
@@ -56,3 +63,27 @@ def test_run_on_odd_and_empty_tables(spark, tmp_path):
         spark.createDataFrame(data, schema).selectExpr("*", "1 as row_id", "2 as n_dropped").write.parquet(str(tmp_path / name / "documents.parquet"))
         got = cp.run(spark, str(tmp_path / name))
         assert got.count() == (1 if data else 0)
+
+
+def test_near_copies_that_line_dedup_has_cut(spark, tmp_path):
+    rng = random.Random(8)
+    vocab = ["w%d" % i for i in range(3000)]
+    texts, copies = [], set()
+    for i in range(30):
+        lines = [[rng.choice(vocab) for _ in range(40)] for _ in range(8)]
+        texts.append("\n".join(" ".join(x) for x in lines))
+        for _ in range(4):  # a word or two of a few lines is new
+            own = [list(x) for x in lines]
+            for x in rng.sample(own, 3):
+                x[rng.randrange(40)] = rng.choice(vocab) + "new"
+            copies.add(len(texts))
+            texts.append("\n".join(" ".join(x) for x in own))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    cut = spark.createDataFrame(cp.lines(spark, docs, str(tmp_path)).collect(), docs.schema)
+    inputs = {r.doc_id: r.text for r in cut.collect()}
+    got = {r.doc_id for r in cp.near_duplicates(spark, cut, str(tmp_path)).collect()}
+    before = dict(enumerate(texts))
+    alike = {j for i in range(len(texts)) for j in range(i + 1, len(texts)) if i // 5 == j // 5 and jaccard(texts[i], texts[j]) >= 0.8}
+    assert got == near_kept(inputs, before) and len(alike - got) >= 0.9 * len(alike) and got >= set(range(0, 150, 5))
