@@ -34,9 +34,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays that shares 0.8 or more of its shingles of five words, or nearly all fingerprint bits."""
+    """One document of each group stays that shares 0.8 or more of its shingles of five words, or nearly all fingerprint bits.
+
+    Line dedup leaves near copies as remnants that share nothing, so a document's text as it
+    came into the pipeline counts beside the text that is left of it.
+    """
     small_batches(spark)
-    return simhash.dedup_similar(docs, width=5, similarity=0.8)
+    return simhash.dedup_similar(docs, earlier=table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
