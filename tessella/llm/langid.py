@@ -170,16 +170,26 @@ def identify(docs: DataFrame, model: Identifier, *, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Identifier, *, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more; columns stay as they are."""
+def keep_identified(docs: DataFrame, model: Identifier, *, text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more.
+
+    The column ``lang_col``, where there is one, gets the predicted language; others stay as
+    they are. Null texts and texts without a letter go; repeated rows fare alike; no rows
+    give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("langid")
         for batch in batches:
             langs, scores = model.predict(texts_of(batch.column(batch.schema.names.index(text_col))))
+            if lang_col in batch.schema.names:
+                i = batch.schema.names.index(lang_col)
+                batch = batch.set_column(i, batch.schema.field(i), pa.array(langs, batch.schema.field(i).type))
             yield batch.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
 
     own = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    if lang_col in docs.columns:
+        own = own.withColumn(lang_col, F.col(lang_col).cast("string"))
     return own.mapInArrow(run, own.schema)
 
 

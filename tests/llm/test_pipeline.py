@@ -31,6 +31,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert first.columns == docs.columns
     texts = {r.doc_id: r.text for r in docs.collect()}
     langs, scores = model.predict(list(texts.values()))
+    assert {r.doc_id: r.lang for r in first.collect()} == {i: x for i, x, s in zip(texts, langs, scores) if x != "und" and s >= 0.3}
     assert rows(first) == sorted(((i, t) for (i, t), x, s in zip(texts.items(), langs, scores) if x != "und" and s >= 0.3), key=str)
 
     small = first.orderBy("doc_id").limit(60)
