@@ -343,6 +343,18 @@ def _once(marked: DataFrame) -> DataFrame:
     return marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text_hash").alias("text_hash")).where("rows = 1").drop("rows")
 
 
+def _all_links(work: Workspace, texts: DataFrame, nodes: DataFrame, known: DataFrame | None, similarity: float, width: int, crowd: int) -> DataFrame:
+    """Links (a, b) by fingerprint and by similarity between ``nodes``, after ``known`` ones, which are among them."""
+    first = work.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    equal = nodes.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    bits = link(work, first.select("fp"), crowd=crowd)
+    close = bits.join(first.toDF("a", "a_node"), "a").join(first.toDF("b", "b_node"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    so_far = equal.unionByName(close)
+    so_far = work.keep(so_far if known is None else so_far.unionByName(known), "known")
+    work.drop(first)
+    return so_far.unionByName(similar_links(work, texts, nodes, so_far, similarity, width=width, crowd=crowd))
+
+
 def group_similar(docs: DataFrame, *, earlier: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, component): groups by fingerprint links and by Jaccard similarity of ``similarity`` or more.
 
@@ -350,37 +362,31 @@ def group_similar(docs: DataFrame, *, earlier: DataFrame | None = None, id_col:
     ten bits; those come from :func:`similar_links`. A node is a distinct text, named by its hash.
 
     ``earlier`` may hold the documents as they were before they were edited. Where an id has
-    one row there and one here, its earlier text is a node too, and one group with its text:
-    documents then group by chains of like texts, whether now or before. Ids that are null,
-    missing or repeated on either side have no earlier text.
+    one row there and one here, its earlier text is in one group with its text, and earlier
+    texts are linked among themselves as texts are: documents group by chains of texts that
+    are alike now or were so before. Ids that are null, missing or repeated on either side
+    have no earlier text.
     """
     work = Workspace(docs.sparkSession)
-    source = docs if earlier is None else earlier
-    common = _common_shingles(source, id_col, text_col, width)
+    common = _common_shingles(docs if earlier is None else earlier, id_col, text_col, width)
     text = F.col(text_col).cast("string")
-    mark = lambda df: with_prefixes(df, common, similarity, id_col=id_col, text_col=text_col, width=width)
+    mark = lambda df: work.keep(with_prefixes(df, common, similarity, id_col=id_col, text_col=text_col, width=width), "marks")
     named = lambda df: df.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    marked, texts = work.keep(mark(docs), "marks"), named(docs)
-    if earlier is None:
-        rows, all_marks, own = work.keep(marked.select("doc_id", "text_hash", "fp"), "rows"), marked, None
-    else:
-        before = work.keep(mark(earlier), "marks_before")
-        both = _once(marked).join(_once(before).toDF("doc_id", "before"), "doc_id").where("text_hash <> before")
-        own = work.keep(both.select("text_hash", "before").distinct(), "own")
-        read = before.join(own.select(F.col("before").alias("text_hash")).distinct(), "text_hash", "left_semi").select(marked.columns)
-        rows, all_marks, texts = work.keep(marked.select("doc_id", "text_hash", "fp"), "rows"), marked.unionByName(read), texts.unionByName(named(earlier))
-    nodes = work.keep(all_marks.withColumnRenamed("text_hash", "node").drop("doc_id").dropDuplicates(["node"]), "nodes")
+    one_each = lambda df: work.keep(df.withColumnRenamed("text_hash", "node").drop("doc_id").dropDuplicates(["node"]), "nodes")
+    marked = mark(docs)
+    rows = work.keep(marked.select("doc_id", "text_hash", "fp"), "rows")
+    nodes = one_each(marked)
     work.drop(marked)
-    if earlier is not None:
-        work.drop(before)
-    first = work.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first")
-    equal = nodes.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    bits = link(work, first.select("fp"), crowd=crowd)
-    close = bits.join(first.toDF("a", "a_node"), "a").join(first.toDF("b", "b_node"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    known = equal.unionByName(close)
-    known = work.keep(known if own is None else known.unionByName(own.toDF("a", "b")), "known")
-    links = known.unionByName(similar_links(work, texts, nodes, known, similarity, width=width, crowd=crowd))
+    links = work.keep(_all_links(work, named(docs), nodes, None, similarity, width, crowd), "links")
     work.drop(nodes)
+    if earlier is not None:
+        marked = mark(earlier)
+        both = work.keep(_once(rows).join(_once(marked).toDF("doc_id", "before"), "doc_id"), "before")
+        nodes = one_each(marked.join(both.select(F.col("before").alias("text_hash")).distinct(), "text_hash", "left_semi"))
+        work.drop(marked)
+        own = both.where("text_hash <> before").select(F.col("text_hash").alias("a"), F.col("before").alias("b"))
+        links = work.keep(_all_links(work, named(earlier), nodes, links.unionByName(own), similarity, width, crowd), "links")
+        work.drop(nodes)
     roots = work.keep(connected_components(work, links), "roots")
     rooted = work.keep(rows.withColumn("node", F.col("text_hash")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     work.drop(rows)

@@ -14,10 +14,10 @@ def rows(df):
 
 def near_kept(inputs, before):
     """The least id of each group of texts that are alike, as they are now or as they were."""
-    names = sorted({*inputs.values(), *(before[i] for i in inputs if i in before)})
-    fps = {t: plain_fingerprint(t, 5) for t in names}
-    links = [(a, b) for a in names for b in names if a < b and (jaccard(a, b) >= 0.8 or bin(fps[a] ^ fps[b]).count("1") <= 2)]
-    root = plain_components(names, links + [(t, before[i]) for i, t in inputs.items() if i in before])
+    now, then = set(inputs.values()), {before[i] for i in inputs if i in before}
+    fps = {t: plain_fingerprint(t, 5) for t in now | then}
+    links = [(a, b) for texts in (now, then) for a in texts for b in texts if a < b and (jaccard(a, b) >= 0.8 or bin(fps[a] ^ fps[b]).count("1") <= 2)]
+    root = plain_components(sorted(now | then), links + [(t, before[i]) for i, t in inputs.items() if i in before])
     least = {}
     for i in sorted(inputs):
         least.setdefault(root[inputs[i]], i)
