@@ -51,15 +51,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
 MEMOS: dict[str, Callable[[], None]] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def begin_task(module: str) -> None:
     """Called where a kernel begins: workers are used again, so other modules' memos and freed memory go first."""
     for name, drop in MEMOS.items():
         if name != module:
             drop()
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    release()
 
 
 @contextlib.contextmanager
@@ -107,14 +112,26 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, chosen by the hash of ``key``; the same rows at every run."""
-    total = df.count()
-    if total <= most:
+def bounded_sample(df: DataFrame, keys: list[str], most: int, *, size: Column | None = None, most_size: int = 0) -> DataFrame:
+    """At most ``most`` rows, chosen by the hash of ``keys``; the same rows at every run.
+
+    With ``size``, they also sum up to ``most_size`` at most. Rows of one hash class come or
+    stay out together, whatever their number, so repeated keys cannot break the bound.
+    """
+    sums = [F.count("*").alias("n"), (F.lit(0) if size is None else F.coalesce(F.sum(size), F.lit(0))).alias("size")]
+    total = df.agg(*sums).first()
+    if total.n <= most and (size is None or total.size <= most_size):
         return df
-    spread = 1 << 30
-    h = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(spread))
-    return df.where(h < int(spread * min(1.0, 1.1 * most / total))).orderBy(h, key).limit(most)
+    share = max(total.n / most, total.size / most_size if size is not None else 0)
+    classes, taken = int(share * 64), 256
+    number = F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(classes))
+    rows = size_so_far = 0
+    chosen = []
+    for r in sorted(df.where(number < taken).groupBy(number.alias("class")).agg(*sums).collect(), key=lambda r: r["class"]):
+        if rows + r.n <= most and (size is None or size_so_far + r.size <= most_size):
+            rows, size_so_far = rows + r.n, size_so_far + r.size
+            chosen.append(r["class"])
+    return df.where(number.isin(chosen))
 
 
 def in_pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[list[int]]:

@@ -6,20 +6,26 @@ import zlib
 
 import numpy as np
 
-_GAP = b"\n\n\n"
+_GAP = "\n\n\n"
 
 
-def byte_ngrams(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the byte n-grams of each lower-cased text, one array for each order, and the row each start belongs to.
+def ngrams(texts: list[str], orders: tuple[int, ...], bits: int, *, chars: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the n-grams of each lower-cased text, one array for each order, and the row each start belongs to.
 
-    Starts in the gaps between texts belong to row ``len(texts)``; n-grams never reach the next text.
+    Units are UTF-8 bytes, or code points with ``chars``. Starts in the gaps between texts
+    belong to row ``len(texts)``; n-grams never reach the next text.
     """
-    raw = [t.lower().encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(_GAP.join(raw) + _GAP, np.uint8).astype(np.uint32)
-    sizes = np.array([len(r) for r in raw])
+    low = [t.lower() for t in texts]
+    if chars:
+        sizes = [len(t) for t in low]
+        data = np.frombuffer((_GAP.join(low) + _GAP).encode("utf-32-le", "surrogatepass"), np.uint32)
+    else:
+        raw = [t.encode("utf-8", "replace") for t in low]
+        sizes = [len(r) for r in raw]
+        data = np.frombuffer(_GAP.encode().join(raw) + _GAP.encode(), np.uint8).astype(np.uint32)
     row = np.full(len(data), len(texts), dtype=np.int64)
     at = 0
-    for i, n in enumerate(sizes.tolist()):
+    for i, n in enumerate(sizes):
         row[at : at + n] = i
         at += n + len(_GAP)
     out = []
@@ -34,9 +40,9 @@ def byte_ngrams(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[l
 
 
 def ngram_counts(texts: list[str], orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Dense counts, a row a text."""
+    """Dense counts of byte n-grams, a row a text."""
     dims, n = 1 << bits, len(texts)
-    hashes, row = byte_ngrams(texts, orders, bits)
+    hashes, row = ngrams(texts, orders, bits)
     total = np.zeros((n + 1) * dims, dtype=np.int64)
     base = row * dims
     for h in hashes:

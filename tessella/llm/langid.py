@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import begin_task, held_out, in_pieces, small_batches, texts_of
+from tessella.llm.common import begin_task, bounded_sample, held_out, in_pieces, release, small_batches, texts_of
 from tessella.llm.features import Adam, ngram_counts, platt, sigmoid
 
 UND = "und"
@@ -70,19 +70,22 @@ class Machine:
         return sigmoid(self.slope * (x @ self.weights + self.offset) + self.shift)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, *, steps: int = 100, decay: float = 1e-4) -> Machine:
-    """Squared-hinge loss with classes weighted alike; every fourth row is kept for the scaling."""
-    kept = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
-    use = ~kept if len(set(y[~kept].tolist())) == 2 else np.ones(len(y), bool)
-    xs, sign = x[use], np.where(y[use], 1.0, -1.0).astype(np.float32)
-    weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
+def fit_machine(x: np.ndarray, y: np.ndarray, among: np.ndarray | None = None, *, steps: int = 100, decay: float = 1e-4) -> Machine:
+    """Squared-hinge loss with classes weighted alike, over the rows ``among``; every fourth of them is kept for the scaling."""
+    among = np.ones(len(y), bool) if among is None else among
+    turn = np.cumsum(among) - 1
+    kept = among & (turn % 4 == 3) if among.sum() >= 40 else np.zeros(len(y), bool)
+    use = among & ~kept if len(set(y[among & ~kept].tolist())) == 2 else among
+    sign = np.where(y, 1.0, -1.0).astype(np.float32)
+    # rows that are not used weigh nothing, so that no part of x is copied
+    weight = (np.where(y, 0.5 / max(1, (use & y).sum()), 0.5 / max(1, (use & ~y).sum())) * use).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), np.zeros(1, np.float32)
     adam = Adam([w, b], 0.1)
     for _ in range(steps):
-        slack = np.maximum(0, 1 - sign * (xs @ w + b[0])) * sign * weight
-        adam.ascend([xs.T @ slack - decay * w, np.array([slack.sum()])])
+        slack = np.maximum(0, 1 - sign * (x @ w + b[0])) * sign * weight
+        adam.ascend([x.T @ slack - decay * w, np.array([slack.sum()])])
     scale = kept if len(set(y[kept].tolist())) == 2 else use
-    return Machine(w, float(b[0]), *platt((x[scale] @ w + b[0]).astype(np.float64), y[scale].astype(float)))
+    return Machine(w, float(b[0]), *platt((x @ w + b[0])[scale].astype(np.float64), y[scale].astype(float)))
 
 
 class Identifier:
@@ -98,8 +101,7 @@ class Identifier:
         self.pairs = {}
         for f in self.families:
             for a, b in combinations(self.members[f], 2):
-                rows = (y == a) | (y == b)
-                self.pairs[a, b] = fit_machine(x[rows], y[rows] == a)
+                self.pairs[a, b] = fit_machine(x, y == a, (y == a) | (y == b))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         langs, scores = [UND] * len(texts), np.zeros(len(texts))
@@ -131,15 +133,16 @@ class Identifier:
         return langs, scores
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000) -> Identifier:
-    """Learn from at most ``sample_docs`` rows that :func:`held_out` does not mark."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, most_langs: int = 200) -> Identifier:
+    """Learn from at most ``sample_docs`` rows that :func:`held_out` does not mark, of the ``most_langs`` most frequent languages."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = {r.lang: r.n for r in counted.collect()}
     if not sizes:
         return Identifier([], np.zeros((0, 1 << BITS)), np.array([], dtype=str))
     each = max(1, sample_docs // len(sizes))
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30))
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = F.when(F.col("lang") == lang, draw < int((1 << 30) * min(1.0, each / n))).otherwise(chosen)
@@ -148,13 +151,24 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         for batch in batches:
             texts = texts_of(batch.column(1))
             for piece in in_pieces(texts, 1_000_000):
-                x = vectors([texts[i] for i in piece]).astype("<f4")
+                x = vectors([texts[i] for i in piece]).astype("<f2")
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), batch.column(2).take(pa.array(piece)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    got = known.where(chosen).mapInArrow(run, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    x = np.frombuffer(b"".join(v.as_buffer() for v in got.column("x")), "<f4").reshape(got.num_rows, -1)
-    y = np.array(got.column("lang").to_pylist())
-    return Identifier(sorted(set(y.tolist())), x, y)
+    drawn = bounded_sample(known.where(chosen), ["doc_id", "text", "lang"], sample_docs + len(sizes) * 100)
+    got = drawn.mapInArrow(run, "doc_id long, lang string, x binary").toArrow()
+    ids, langs = got.column("doc_id").to_pylist(), got.column("lang").to_pylist()
+    order = sorted(range(got.num_rows), key=lambda i: (ids[i] is None, ids[i] or 0, langs[i], i))
+    x = np.empty((got.num_rows, 1 << BITS), np.float32)
+    place = np.argsort(order)
+    for i, v in enumerate(got.column("x")):
+        x[place[i]] = np.frombuffer(v.as_buffer(), "<f2")
+    y = np.array([langs[i] for i in order])
+    del got
+    release()
+    made = Identifier(sorted(set(y.tolist())), x, y)
+    del x
+    release()
+    return made
 
 
 def identify(docs: DataFrame, model: Identifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import MEMOS, begin_task, small_batches
 
 MARK = "▁"
 _OWN = "\ud800"  # stands for a mark of the text itself; no text has this code
@@ -136,6 +136,7 @@ class Pieces:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
+        self.memo.trim()
         if not text:
             return np.empty(0, self.dtype)
         if MARK in text:
@@ -159,6 +160,9 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+MEMOS["piece_viterbi"] = load.cache_clear
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -170,6 +174,7 @@ def _replaced(docs: DataFrame, column: str, kind: str, change) -> DataFrame:
     to = {"array<int>": pa.list_(pa.int32()), "string": pa.string()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("piece_viterbi")
         for batch in batches:
             names = batch.schema.names
             i = names.index(column)
@@ -194,10 +199,10 @@ def encode_digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_
     names = ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("piece_viterbi")
         pieces = load(model)
         low, high = min(pieces.bytes.values()), max(pieces.bytes.values())
         for batch in batches:
-            pieces.memo.trim()
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = pieces.encode(text or "")

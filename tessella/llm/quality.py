@@ -1,10 +1,10 @@
 """Quality rules: fixed counts, and calibrated logistic regression over hashed n-grams.
 
 Every text gets the counts of the fixed rules. A text that passes those is judged by a
-logistic regression over hashed words and hashed byte n-grams (orders 2 to 4), each
+logistic regression over hashed words and hashed character n-grams (orders 2 to 4), each
 averaged over the text, so that scoring is two gathers and two sums over whole batches.
-The regression is trained on labelled rows, at most ``sample_docs`` of them chosen by
-hash, three quarters for the weights and one quarter for Platt's calibration. A text is
+The regression is trained on labelled rows, at most ``sample_docs`` of them with
+``sample_chars`` characters together, chosen by hash, three quarters for the weights and one quarter for Platt's calibration. A text is
 kept where its probability of good quality reaches ``KEEP``.
 
 Defined results: a null text has no words and so fails; text of any length counts whole;
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_sample, in_pieces, small_batches, texts_of
-from tessella.llm.features import Adam, byte_ngrams, hash_words, platt, sigmoid
+from tessella.llm.common import bounded_sample, in_pieces, release, small_batches, texts_of
+from tessella.llm.features import Adam, hash_words, ngrams, platt, sigmoid
 
 WORD_BITS, GRAM_BITS, ORDERS = 16, 12, (2, 3, 4)
 #: Fixed thresholds of the rules.
@@ -76,7 +76,7 @@ class Model:
             return np.ones(len(texts))
         row = np.repeat(np.arange(len(texts)), sizes)
         margin = np.bincount(row, self.words[hash_words(words, WORD_BITS)], len(texts)) / np.maximum(sizes, 1)
-        hashes, at = byte_ngrams(texts, ORDERS, GRAM_BITS)
+        hashes, at = ngrams(texts, ORDERS, GRAM_BITS, chars=True)
         per_gram = sum(self.grams[h] for h in hashes)
         total = np.bincount(at, minlength=len(texts) + 1)[:-1]
         margin += np.bincount(at, per_gram, len(texts) + 1)[:-1] / np.maximum(total, 1)
@@ -96,7 +96,7 @@ def _training_row(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word hashes, their shares, and the shares of the n-gram hashes."""
     words = text.encode("utf-8", "replace").split()
     h, n = np.unique(hash_words(words, WORD_BITS), return_counts=True)
-    hashes, at = byte_ngrams([text], ORDERS, GRAM_BITS)
+    hashes, at = ngrams([text], ORDERS, GRAM_BITS, chars=True)
     inside = at == 0
     grams = sum(np.bincount(x[inside], minlength=1 << GRAM_BITS) for x in hashes) / max(1, int(inside.sum()))
     return h, n / max(1, len(words)), grams
@@ -129,10 +129,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndar
     return Model(words, grams.astype(float), float(offset[0]), *platt(m[scale], y[scale]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 4000) -> Model:
-    """Learn from at most ``sample_docs`` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 4000, sample_chars: int = 40_000_000) -> Model:
+    """Learn from at most ``sample_docs`` labelled rows of at most ``sample_chars`` characters together."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    chosen = bounded_sample(known.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", sample_docs)
+    chosen = bounded_sample(known.groupBy("doc_id").agg(F.min("label").alias("label")), ["doc_id"], sample_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             cols = [pa.array([x[k].astype(kind).tobytes() for x in made], pa.binary()) for k, kind in enumerate(("<i4", "<f4", "<f4"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["doc_id", "label", "words", "shares", "grams"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, words binary, shares binary, grams binary").collect()
+    rows = bounded_sample(rows.select("doc_id", "text", "label"), ["doc_id", "text"], sample_docs, size=F.length("text"), most_size=sample_chars)
+    got = rows.mapInArrow(run, "doc_id long, label int, words binary, shares binary, grams binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.grams, r.words))
     made = [(np.frombuffer(r.words, "<i4").astype(np.int64), np.frombuffer(r.shares, "<f4"), np.frombuffer(r.grams, "<f4")) for r in got]
-    return train(made, np.array([int(r.label > 0) for r in got]))
+    model = train(made, np.array([int(r.label > 0) for r in got]))
+    release()
+    return model
 
 
 def judge(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:

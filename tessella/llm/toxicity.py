@@ -4,7 +4,8 @@ A sentence's probability is logistic in the summed weights of its words, each ha
 whole and by its first 4, 5 and 6 bytes, since endings vary; a document's is the noisy-or of its sentences, ``1 - prod(1 - p)``. Only
 document labels train the weights, by gradient ascent on the likelihood of the noisy-or
 with a penalty on large weights; the sentence scores then tell which sentences offend.
-Training uses at most ``sample_docs`` labelled rows, chosen by hash.
+Training uses at most ``sample_docs`` labelled rows with ``sample_chars`` characters
+together, chosen by hash.
 
 Defined results: a null or wordless text has no sentence and so the score 0; text of any
 length counts whole; a document labelled more than once takes its largest label; labels
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_sample, held_out, in_pieces, small_batches, texts_of
+from tessella.llm.common import bounded_sample, held_out, in_pieces, release, small_batches, texts_of
 from tessella.llm.features import hash_words, sigmoid
 
 BITS = 18
@@ -174,10 +175,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = 200, rate:
     return Scorer(weights, float(offset[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 6000) -> Scorer:
-    """Learn from at most ``sample_docs`` labelled rows that :func:`held_out` does not mark."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 6000, sample_chars: int = 60_000_000) -> Scorer:
+    """Learn from at most ``sample_docs`` labelled rows, of ``sample_chars`` characters together, that :func:`held_out` does not mark."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().where(~held_out("doc_id"))
-    chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", sample_docs)
+    chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), ["doc_id"], sample_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +186,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             bags = [_bag(text).astype("<i4").tobytes() for text in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
+    rows = bounded_sample(rows.select("doc_id", "text", "label"), ["doc_id", "text"], sample_docs, size=F.length("text"), most_size=sample_chars)
+    got = rows.mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
     bags = [np.frombuffer(b.as_buffer(), "<i4").reshape(-1, 1 + len(PREFIXES)) for b in got.column("bag")]
     ids, labels = got.column("doc_id").to_pylist(), got.column("label").to_numpy()
     order = sorted(range(len(bags)), key=lambda i: (ids[i], bags[i].tobytes()))
-    return train([bags[i] for i in order], labels[order])
+    model = train([bags[i] for i in order], labels[order])
+    del got, bags
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

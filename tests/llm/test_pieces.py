@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 import pytest
@@ -86,3 +87,41 @@ def test_quality_of_labelled_rows(spark):
     assert not any(r.kept for r in got if truth[r.doc_id] == 0 and r.base_failed)
     bad = [r for r in got if truth[r.doc_id] == 0]
     assert sum(not r.kept for r in bad) > 0.8 * len(bad)
+
+
+def test_quality_of_rows_that_taught_nothing(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.doc_id % 2}
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = [r for r in quality.judge(docs, model).collect() if r.doc_id in truth]
+    assert sum(r.kept == bool(truth[r.doc_id]) or r.base_failed for r in got) > 0.9 * len(got)
+
+
+def test_character_ngrams_count_code_points():
+    from tessella.llm.features import ngrams
+
+    texts = ["éa", "", "ab", "\U0001f600"]
+    (pairs,), row = ngrams(texts, (2,), 20, chars=True)
+    assert np.bincount(row, minlength=5)[:4].tolist() == [2, 0, 2, 1] and len(pairs) == len(row)
+    (one,), _ = ngrams(["xab"], (2,), 20, chars=True)
+    assert one[1] == pairs[np.flatnonzero(row == 2)[0]]
+
+
+def test_memo_of_pieces_is_bounded():
+    p = pv.load(pv.model_path())
+    for k in range(70):
+        p.encode(" ".join("w%dx%d" % (k, i) for i in range(10_000)) * 2)
+    assert len(p.memo) <= pv._OFTEN + 20_000 and len(p.memo.once) <= pv._ONCE
+
+
+def test_samples_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.llm.common import bounded_sample
+
+    rows = spark.range(5000).select((F.col("id") % 700).alias("doc_id"), F.lit("x" * 50).alias("text")).unionByName(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("y").alias("text")))
+    assert 0 < bounded_sample(rows, ["doc_id"], 400).count() <= 400
+    got = bounded_sample(rows, ["doc_id"], 5000, size=F.length("text"), most_size=20_000).collect()
+    assert 0 < sum(len(r.text) for r in got) <= 20_000
+    assert bounded_sample(rows, ["doc_id"], 8000).count() == 8000
