@@ -19,7 +19,7 @@ lines without a word are never touched. Exact comparison uses 128 bits of hash.
 
 Defined results: a null text stays null, an empty one empty; lines of any length count
 whole; rows that repeat both doc_id and text count as one document and keep the same
-lines; equal ids with other texts are ordered by the hash of the text, null ids first;
+lines; a class of lines is a connected component of edit links; equal ids with other texts are ordered by the hash of the text, null ids first;
 no rows give no rows; columns other than the text are kept as they are.
 """
 
@@ -157,47 +157,64 @@ def link_lines(work: Workspace, lines: DataFrame, *, threshold: int = THRESHOLD,
     apart = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") > F.col("b.id")) & ~F.col("b.own"))
     close = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= 4 * threshold
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & close).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    pairs = work.keep(pairs, "pairs")
     texts = members.select("id", "line")
     read = pairs.join(texts.toDF("u", "u_line"), "u").join(texts.toDF("v", "v_line"), "v")
     return read.where(within_edits(F.col("u_line"), F.col("v_line"), threshold)).select("u", "v")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, text_hash, drop): the places of the lines that repeat an earlier one, for each document that has some."""
+    """(doc_id, text_hash, drop, first_doc, links) for each document that has a line that is linked or repeats an earlier one.
+
+    drop holds the places of the lines that repeat an earlier one, first_doc the least
+    doc_id whose line is the first of a class that one of its lines belongs to, links the
+    number of different lines within ``threshold`` edits of its lines, summed.
+    """
     work = Workspace(docs.sparkSession)
     lines = _lines(docs, id_col, text_col)
     placed = work.keep(lines.select("doc_id", "text_hash", "pos", "h1", "h2"), "places")
-    roots = connected_components(work, link_lines(work, lines, threshold=threshold, least_chars=least_chars))
-    as_long = lambda at: F.conv(F.substring("node", at, 16), 16, -10).cast("long")
-    as_root = lambda at: F.conv(F.substring("root", at, 16), 16, -10).cast("long")
-    moved = work.keep(roots.where("node <> root").select(as_long(1).alias("h1"), as_long(17).alias("h2"), as_root(1).alias("r1"), as_root(17).alias("r2")), "moved")
-    classed = placed.join(moved, ["h1", "h2"], "left").select("doc_id", "text_hash", "pos", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"))
+    links = work.keep(link_lines(work, lines, threshold=threshold, least_chars=least_chars), "line_links")
+    roots = connected_components(work, links)
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+    half = lambda name, at: F.conv(F.substring(name, at, 16), 16, -10).cast("long")
+    joined = roots.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
+    moved = work.keep(joined.select(half("node", 1).alias("h1"), half("node", 17).alias("h2"), half("root", 1).alias("r1"), half("root", 17).alias("r2"), "degree"), "moved")
+    classed = work.keep(placed.join(moved, ["h1", "h2"], "left").select("doc_id", "text_hash", "pos", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree")), "classed")
+    work.drop(placed)
+    work.drop(moved)
     place = F.struct("doc_id", "text_hash", "pos")
     # a table of its own, so that the join below has two plain shuffles and a frequent line can be split
     first = work.keep(classed.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = classed.join(first, ["c1", "c2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
+    later = classed.join(first, ["c1", "c2"]).select("doc_id", "text_hash", "degree", F.col("first.doc_id").alias("first_doc"), F.when(~place.eqNullSafe(F.col("first")), F.col("pos")).alias("pos"))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"), F.min("first_doc").alias("first_doc"), F.sum("degree").alias("links"))
+
 
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, dropped: str | None = None, joined: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with later repeats of a line removed from the texts.
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, dropped: str | None = None) -> DataFrame:
-    """``docs`` with later repeats of a line removed from the texts; ``dropped`` names a column for their number."""
-    found = repeats(docs, id_col=id_col, text_col=text_col, threshold=threshold, least_chars=least_chars).toDF("r_id", "r_hash", "r_drop")
+    ``dropped`` names a column for their number; ``joined`` may name columns for first_doc
+    and links of :func:`repeats`, which are the own id and 0 where nothing is linked.
+    """
+    work = Workspace(docs.sparkSession)
+    found = work.keep(repeats(docs, id_col=id_col, text_col=text_col, threshold=threshold, least_chars=least_chars).toDF("r_id", "r_hash", "r_drop", "r_first", "r_links"), "repeats")
     h = fresh_name(docs.columns, "row_hash")
     marked = docs.withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
-    joined = marked.join(found, marked[id_col].cast("long").eqNullSafe(F.col("r_id")) & (marked[h] == F.col("r_hash")), "left")
+    met = marked.join(found, marked[id_col].cast("long").eqNullSafe(F.col("r_id")) & (marked[h] == F.col("r_hash")), "left")
     text = F.col(text_col).cast("string")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("r_drop", i)), "\n")
-    new = F.when(F.col("r_drop").isNull(), text).otherwise(kept)
+    new = F.when(F.coalesce(F.size("r_drop"), F.lit(0)) <= 0, text).otherwise(kept)
     out = [new.alias(c) if c == text_col else marked[c] for c in docs.columns]
     if dropped:
-        out.append(F.coalesce(F.size("r_drop"), F.lit(0)).cast("long").alias(dropped))
-    return joined.select(*out)
+        out.append(F.greatest(F.coalesce(F.size("r_drop"), F.lit(0)), F.lit(0)).cast("long").alias(dropped))
+    for name, value in (joined or {}).items():
+        out.append({"first_doc": F.coalesce("r_first", marked[id_col].cast("long")), "links": F.coalesce("r_links", F.lit(0)).cast("long")}[name].alias(value))
+    return met.select(*out)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of lines dropped from each document, and size and digest of what stays."""
+    """Lines dropped from each document, size and digest of what stays, its class of lines and their links."""
     from tessella.session import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, dropped="n_dropped")
-    return out.select("doc_id", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    out = dedup_lines(docs, dropped="n_dropped", joined={"first_doc": "class_id", "links": "n_links"})
+    return out.select("doc_id", "class_id", "n_links", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

@@ -100,3 +100,17 @@ def test_keys_too_many_to_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
     assert sorted(((r.doc_id, r.text) for r in ld.dedup_lines(docs).collect()), key=key) == sorted(plain_dedup(rows), key=key)
+
+
+def test_classes_and_links_of_documents(spark):
+    a, b, c = "the first line of some length", "the first lime of some length", "an other line that stands alone"
+    rows = [(1, a), (2, b + "\n" + c), (3, c), (4, None), (5, a + "\n" + c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n, r.k, r.m) for r in ld.dedup_lines(docs, dropped="n", joined={"first_doc": "k", "links": "m"}).collect()}
+    assert got == {1: (a, 0, 1, 1), 2: (c, 1, 1, 1), 3: ("", 1, 2, 0), 4: (None, 0, 4, 0), 5: ("", 2, 1, 1)}
+
+
+def test_a_very_long_line(spark):
+    long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long[:30_000] + "x" + long[30_001:]), (3, long[:59_000])], "doc_id long, text string")
+    assert {r.doc_id: len(r.text) for r in ld.dedup_lines(docs).collect()} == {1: 60_000, 2: 0, 3: 59_000}
