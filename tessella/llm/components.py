@@ -7,7 +7,7 @@ The number of rounds is logarithmic in the length of the longest chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Workspace
@@ -28,22 +28,25 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _kept(work: Workspace, links: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """``links`` written, and their number and a sum that tells whether they changed, taken while they are written."""
+    seen = Observation()
+    out = work.keep(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(work: Workspace, links: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the least node of the component.
 
     ``links`` has two columns of one orderable type. Loops are ignored; no links give no rows.
+    A task that runs twice can only make a round look like a change, which costs one more round.
     """
     u, v = links.columns
-    now = work.keep(links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "links")
-    state = _state(now)
+    now, state = _kept(work, links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "links")
     while state[0]:
-        new = work.keep(_small_star(_large_star(now)), "round")
+        new, next_state = _kept(work, _small_star(_large_star(now)), "round")
         work.drop(now)
-        now, before, state = new, state, _state(new)
+        now, before, state = new, state, next_state
         if state == before:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

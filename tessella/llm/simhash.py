@@ -166,7 +166,7 @@ def _common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) ->
             for text in texts_of(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(text, width).view(np.int64)))], names=["h"])
 
-    rows = bounded_sample(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", SAMPLE)
+    rows = bounded_sample(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), ["doc_id"], SAMPLE)
     found = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
     return np.array([r.h for r in reversed(found)], dtype=np.int64)
 
@@ -321,6 +321,8 @@ def similar_links(work: Workspace, texts: DataFrame, nodes: DataFrame, known: Da
     rooted = work.keep(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "anchor_roots")
     work.drop(many)
     mixed = work.keep(rooted.groupBy("anchor").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("anchor", F.ceil(F.col("members") / crowd).cast("long").alias("blocks")), "mixed")
+    if mixed.isEmpty():
+        return links
     some = work.keep(rooted.join(mixed, "anchor").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks"))), "blocks")
     work.drop(rooted)
     work.drop(mixed)
