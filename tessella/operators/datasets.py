@@ -101,28 +101,63 @@ def evaluation_cases_full(qa: DataFrame, *, categories: list[str] | None = None,
 
 
 def hard_negatives(positives: DataFrame, pool: DataFrame, shown: DataFrame, n: int = 2) -> DataFrame:
-    """(query_id, chunk_id): the first ``n`` blocks of the positive's page that were not shown for the query."""
-    same = positives.select("query_id", "page_name").join(pool.select("page_name", "chunk_id"), "page_name")
-    free = same.join(shown.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    """(query_id, chunk_id): the first ``n`` blocks of the positive's page that were not shown for the query.
+
+    A query's blocks are among the first ``n`` + (blocks of the page shown for it) of its
+    page, so that many ranks of the page meet it, not the whole page.
+    """
+    ranked = pool.select("page_name", "chunk_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("page_name").orderBy("chunk_id")))
+    pages = positives.select("query_id", "page_name").distinct()
+    own = shown.select("query_id", "chunk_id").distinct()
+    counts = own.groupBy("query_id").agg(F.count("*").alias("c"))
+    wanted = pages.join(counts, "query_id", "left").select("query_id", "page_name", F.explode(F.sequence(F.lit(1), (F.coalesce("c", F.lit(0)) + n).cast("int"))).alias("place"))
+    free = wanted.join(ranked, ["page_name", "place"]).join(own, ["query_id", "chunk_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy("chunk_id")
     return free.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).select("query_id", "chunk_id")
 
 
-def random_negatives(queries: DataFrame, pool: DataFrame, taken: DataFrame, n: int = 2, *, buckets: int = 64) -> DataFrame:
-    """(query_id, chunk_id): ``n`` further blocks for each query, chosen by hash.
+def on_ring(c: Column) -> Column:
+    """A place from 0 to 2**32 - 1, by the md5 of the text."""
+    return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long")
+
+
+def random_negatives(queries: DataFrame, pool: DataFrame, taken: DataFrame, n: int = 2) -> DataFrame:
+    """(query_id, chunk_id): for each query the first ``n`` blocks after its own place on a ring of hashes that are not ``taken``.
 
-    The pool is dealt into ``buckets`` by hash and each bucket keeps its first few; a query
-    draws from its own bucket, so no query meets the whole pool.
+    The ring is cut into arcs of some 32 blocks. A query meets the arcs next to its place,
+    twice as many in each round, until it has ``n`` free blocks or has met the whole ring; so
+    it draws from the whole pool, and only queries that need it meet much of it.
     """
-    bucket = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(buckets))
-    w = Window.partitionBy("b").orderBy(F.md5(F.col("chunk_id").cast("string")), "chunk_id")
-    heads = pool.select("chunk_id", bucket("chunk_id").alias("b")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n + 40).drop("_n")
-    drawn = queries.select("query_id", bucket("query_id").alias("b")).join(heads, "b").join(taken.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    q = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", "query_id", "chunk_id")), "chunk_id")
-    return drawn.withColumn("_n", F.row_number().over(q)).where(F.col("_n") <= n).select("query_id", "chunk_id")
+    size = pool.count()
+    bits = max(0, min(30, (size // 32).bit_length()))
+    arcs = 1 << bits
+    width = (1 << 32) // arcs
+    blocks = pool.select("chunk_id", on_ring(F.col("chunk_id")).alias("at")).withColumn("arc", F.floor(F.col("at") / width).cast("long"))
+    left = queries.select("query_id").distinct().withColumn("from", on_ring(F.col("query_id")))
+    shown = taken.select("query_id", "chunk_id").distinct()
+    done, reach = None, 2
+    while True:
+        reach = min(reach, arcs)
+        steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reach if reach < arcs else arcs - 1).cast("long"))).alias("step")
+        met = left.select("query_id", "from", steps).withColumn("arc", F.pmod(F.floor(F.col("from") / width).cast("long") + F.col("step"), F.lit(arcs)))
+        gap = F.pmod(F.col("at") - F.col("from"), F.lit(1 << 32))
+        # of the first arc the part before the query's place comes last, and only counts once the whole ring is met
+        near = met.join(blocks, "arc").withColumn("gap", gap).where(F.lit(reach >= arcs) | (F.col("step") > 0) | (F.col("at") >= F.col("from")))
+        free = near.join(shown, ["query_id", "chunk_id"], "left_anti")
+        w = Window.partitionBy("query_id").orderBy("gap", "chunk_id")
+        best = free.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).select("query_id", "chunk_id")
+        if reach >= arcs:
+            return best if done is None else done.unionByName(best)
+        full = best.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= n).select("query_id")
+        got = best.join(full, "query_id", "left_semi")
+        done = got if done is None else done.unionByName(got)
+        left = left.join(full, "query_id", "left_anti")
+        if left.isEmpty():
+            return done
+        reach *= 4
 
 
 def split_by_hash(df: DataFrame, key: str, percent: int = 10) -> tuple[DataFrame, DataFrame]:
     """(train, validation): a row's side is fixed by the hash of its key."""
-    held = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(100)) < percent
+    held = on_ring(F.col(key)) % 100 < percent
     return df.where(~held), df.where(held)

@@ -137,13 +137,17 @@ def rewrite(root: Element, change: Change, keep: Callable[[Element], bool] | Non
     Subtrees that ``keep`` rejects go before their inside is looked at.
     """
 
-    def inside(e: Element) -> list:
-        out = []
-        for c in e.children:
+    open_now: list[tuple[Element, Iterator, list]] = [(root, iter(root.children), [])]
+    while True:
+        e, rest, made = open_now[-1]
+        for c in rest:
             if not isinstance(c, Element):
-                out.append(c)
+                made.append(c)
             elif keep is None or keep(c):
-                out.extend(change(c, inside(c)))
-        return out
-
-    return root.copy(inside(root))
+                open_now.append((c, iter(c.children), []))
+                break
+        else:
+            open_now.pop()
+            if not open_now:
+                return e.copy(made)
+            open_now[-1][2].extend(change(e, made))

@@ -19,11 +19,11 @@ def dedup_latest(df: DataFrame, *, text: Column, newest: Column, position: Colum
     is no burden; rows then meet their key's winner in a join that can be split.
     """
     key = F.lower(T.clean_text(text))
-    marked = df.withColumn("_key", key).withColumn("_at", position)
+    # texts that clean to nothing get a key of their own
+    marked = df.withColumn("_at", position).withColumn("_h", F.when(key == "", F.concat(F.lit("-"), F.col("_at").cast("string"))).otherwise(F.sha2(key, 256)))
     rank = F.struct(F.unix_micros(newest).alias("t"), (-F.col("_at")).alias("p"))
-    winners = marked.where("_key <> ''").groupBy(F.sha2("_key", 256).alias("_k")).agg(F.max(rank).alias("_w")).select("_k", (-F.col("_w.p")).alias("_p"))
-    kept = marked.where("_key <> ''").withColumn("_h", F.sha2("_key", 256)).join(winners, (F.col("_h") == F.col("_k")) & (F.col("_at") == F.col("_p")), "left_semi").drop("_h")
-    return kept.unionByName(marked.where("_key = ''")).drop("_key", "_at")
+    winners = marked.groupBy(F.col("_h").alias("_k")).agg(F.max(rank).alias("_w")).select("_k", (-F.col("_w.p")).alias("_p"))
+    return marked.join(winners, (F.col("_h") == F.col("_k")) & (F.col("_at") == F.col("_p")), "left_semi").drop("_h", "_at")
 
 
 def dedup_first(df: DataFrame, key: Column, position: Column) -> DataFrame:

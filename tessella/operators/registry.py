@@ -62,9 +62,10 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-def weighted_order(weight: Column, seed: int = 42) -> Column:
-    """Sort key that draws rows without replacement in proportion to their weights."""
-    return -F.log(F.rand(seed) + 1e-300) / weight
+def weighted_order(weight: Column, key: Column, seed: int = 42) -> Column:
+    """Sort key that draws rows without replacement in proportion to their weights, by the hash of ``key``."""
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 12), 16, 10).cast("double")
+    return -F.log((place + 0.5) / float(1 << 48)) / weight
 
 
 class Registry:

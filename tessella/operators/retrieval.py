@@ -35,17 +35,25 @@ def term_counts(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(key, F.explode(T.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_index(corpus: DataFrame, *, id_col: str = "chunk_id", text: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings (id, term, weight), unit length a document, and (term, idf).
-
-    idf is ln((1 + n) / (1 + df)) + 1 over all documents, weight tf * idf.
-    """
-    tf = term_counts(corpus, id_col, F.col("text") if text is None else text)
+def idf_of(counts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, df, idf): idf is ln((1 + n) / (1 + df)) + 1 over all documents."""
     n = corpus.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    found = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    return found.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def postings_of(counts: DataFrame, idf: DataFrame, *, id_col: str = "chunk_id") -> DataFrame:
+    """(id, term, weight) with weights tf * idf, unit length a document."""
+    weighted = counts.join(idf.select("term", "idf"), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight")), idf
+    return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_index(corpus: DataFrame, *, id_col: str = "chunk_id", text: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (id, term, weight) and (term, idf), unstored; :mod:`tessella.sources.index` stores them."""
+    counts = term_counts(corpus, id_col, F.col("text") if text is None else text)
+    idf = idf_of(counts, corpus)
+    return postings_of(counts, idf, id_col=id_col), idf.select("term", "idf")
 
 
 def keyword_search(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: int, *, id_col: str = "chunk_id") -> DataFrame:
@@ -57,26 +65,58 @@ def keyword_search(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: i
     return top_k(scored.where("score > 0"), k, tie=id_col)
 
 
-def hash_cells(df: DataFrame, key: str, text: Column, dims: int = DIMENSIONS) -> DataFrame:
-    """Signed hash embedding in sparse form (key, bucket, value), unit length; zero cells are left out.
+def containing(queries: DataFrame, corpus: DataFrame, postings: DataFrame, idf: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the documents whose text contains the query's whole text.
+
+    All tokens of a query but its first and last stand whole in such a document, so only the
+    documents with the rarest of them are read. Queries of two tokens or fewer have none, and
+    meet every document.
+    """
+    tokens = T.tokens(F.col("text"))
+    cut = queries.select("query_id", "text", tokens.alias("t")).withColumn("inner", F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0))))
+    each = cut.select("query_id", F.explode(F.array_distinct("inner")).alias("term")).join(idf.select("term", "df"), "term", "left")
+    rarest = each.groupBy("query_id").agg(F.count_if(F.col("df").isNull()).alias("unknown"), F.min(F.struct("df", "term")).alias("least")).where("unknown = 0").select("query_id", F.col("least.term").alias("term"))
+    met = rarest.join(postings.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
+    long = met.join(queries.select("query_id", F.col("text").alias("wanted")), "query_id").join(corpus.select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("wanted"))).select("query_id", "chunk_id")
+    short = cut.where(F.size("inner") == 0).select("query_id", F.col("text").alias("wanted"))
+    if short.isEmpty():
+        return long
+    return long.unionByName(corpus.select("chunk_id", "text").join(short, F.contains("text", F.col("wanted"))).select("query_id", "chunk_id"))
+
+
+def cells_of_counts(counts: DataFrame, key: str, dims: int = DIMENSIONS) -> DataFrame:
+    """Signed hash embedding of (key, term, tf) in sparse form (key, bucket, value), unit length; zero cells are left out.
 
     The bucket and sign of a token are the last three hexadecimal digits of its md5.
     """
-    h = F.md5(F.col("token"))
+    h = F.md5(F.col("term"))
     bucket = F.pmod(F.conv(F.substring(h, 31, 2), 16, 10).cast("int"), F.lit(dims))
     sign = 1 - 2 * F.pmod(F.conv(F.substring(h, 30, 1), 16, 10).cast("int"), F.lit(2))
-    raw = df.select(key, F.explode(T.tokens(text)).alias("token")).select(key, bucket.alias("bucket"), sign.alias("sign")).groupBy(key, "bucket").agg(F.sum("sign").alias("v")).where("v <> 0")
+    raw = counts.select(key, bucket.alias("bucket"), (sign * F.col("tf")).alias("part")).groupBy(key, "bucket").agg(F.sum("part").alias("v")).where("v <> 0")
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return raw.join(norm, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def hash_vectors(df: DataFrame, key: str, text: Column, dims: int = DIMENSIONS) -> DataFrame:
-    """(key, vector): the hash embedding as an array of ``dims`` numbers; texts without tokens have no row."""
-    cells = hash_cells(df, key, text, dims)
+def hash_cells(df: DataFrame, key: str, text: Column, dims: int = DIMENSIONS) -> DataFrame:
+    """:func:`cells_of_counts` of a table of texts."""
+    return cells_of_counts(term_counts(df, key, text), key, dims)
+
+
+def _dense(cells: DataFrame, key: str, dims: int) -> DataFrame:
     by_bucket = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
     return by_bucket.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
 
 
+def vectors_of_counts(counts: DataFrame, key: str, dims: int = DIMENSIONS) -> DataFrame:
+    """(key, vector): the hash embedding as an array of ``dims`` numbers; texts without tokens have no row."""
+    return _dense(cells_of_counts(counts, key, dims), key, dims)
+
+
+def hash_vectors(df: DataFrame, key: str, text: Column, dims: int = DIMENSIONS) -> DataFrame:
+    """:func:`vectors_of_counts` of a table of texts."""
+    return _dense(hash_cells(df, key, text, dims), key, dims)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -173,7 +173,7 @@ def pruned_pages(spark, d):
     return X.prune_pages(pages, budget=200)
 
 
-@query("calculations")
+@query("calculations", "SELECT event_id, round(sqrt(event_id::DOUBLE) + 8 * (user_id - 1), 6) AS value FROM events")
 def calculations(spark, d):
     text = F.concat(F.lit("sqrt("), F.col("event_id"), F.lit(") + 2 ** 3 * ("), F.col("user_id"), F.lit(" - 1)"))
     return table(spark, d, "events").select("event_id", F.round(G.calculate(text), 6).alias("value"))
@@ -181,9 +181,11 @@ def calculations(spark, d):
 
 @query("title_similarity")
 def title_similarity(spark, d):
-    return table(spark, d, "pages").select("page_id", F.round(G.similarity(F.left("html", F.lit(200)), F.substring("html", 101, 200)), 6).alias("ratio"))
+    """Each page's title and its first heading, whole."""
+    title, heading = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1)
+    return table(spark, d, "pages").select("page_id", F.round(G.similarity(title, heading), 6).alias("ratio"))
 
 
-@query("weighted_sample")
+@query("weighted_sample", "SELECT p_partkey FROM part ORDER BY -ln((('0x' || substr(md5('42:' || p_partkey), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / p_retailprice, p_partkey LIMIT 100")
 def weighted_sample(spark, d):
-    return table(spark, d, "part").orderBy(G.weighted_order(F.col("p_retailprice"))).limit(100).select("p_partkey")
+    return table(spark, d, "part").orderBy(G.weighted_order(F.col("p_retailprice"), F.col("p_partkey")), "p_partkey").limit(100).select("p_partkey")

@@ -9,6 +9,7 @@ from tessella.functions import text as T
 from tessella.operators import knowledge as K
 from tessella.operators import quality as Q
 from tessella.session import table
+from tessella.work import spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -27,10 +28,10 @@ _CLEAN = r"lower(regexp_replace(text, '[^\x{4e00}-\x{9fa5}a-zA-Z0-9]', '', 'g'))
 
 
 @query("dedup_exact_latest", f"""
-SELECT doc_id, source FROM documents QUALIFY {_CLEAN} = '' OR row_number() OVER (PARTITION BY {_CLEAN} ORDER BY doc_id) = 1""")
+SELECT doc_id, source FROM documents QUALIFY {_CLEAN} = '' OR row_number() OVER (PARTITION BY {_CLEAN} ORDER BY doc_id % 7 DESC, doc_id) = 1""")
 def dedup_exact_latest(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    return Q.dedup_latest(docs, text=F.col("text"), newest=F.timestamp_seconds(F.lit(0)), position=F.col("doc_id")).select("doc_id", "source")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return Q.dedup_latest(docs, text=F.col("text"), newest=F.timestamp_seconds(F.col("doc_id") % 7), position=F.col("doc_id")).select("doc_id", "source")
 
 
 @query("dedup_by_key", """
@@ -48,7 +49,7 @@ s AS (SELECT count(*) AS total, count(*) FILTER (WHERE t = '') AS empty, count(*
 SELECT total, CASE WHEN total = 0 THEN 1.0 ELSE round(empty / total, 4) END::DOUBLE AS empty_ratio, CASE WHEN filled = 0 THEN 0 ELSE round((filled - texts) / filled, 4) END::DOUBLE AS duplicate_ratio, round(mean, 1) AS avg_length, html AS html_leftover_count,
   NOT (total = 0 OR round(empty / total, 4) > 0.2 OR round((filled - texts) / filled, 4) > 0.3 OR mean < 5 OR html > 0) AS passed FROM s""")
 def quality_report(spark, d):
-    return Q.report(table(spark, d, "documents"), F.col("text"))
+    return Q.report(spread(table(spark, d, "documents").select("text")), F.col("text"))
 
 
 @query("upsert_and_delete", """
@@ -154,7 +155,12 @@ def packet_relevance(spark, d):
     return c.join(q, "conv_id").withColumn("rel", rel).where("rel >= 0.3").select("conv_id", "turn", F.round(0.7 * F.col("rel") + 0.3 * F.exp(-(F.col("turn") * 600) / 3600.0), 6).alias("score"))
 
 
-@query("greedy_prune", None)
+@query("greedy_prune", """
+WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 97 DESC, turn) AS i FROM conversations),
+g(conv_id, i, total, kept) AS (
+  SELECT conv_id, i, w, [turn] FROM r WHERE i = 1
+  UNION ALL SELECT g.conv_id, r.i, CASE WHEN g.total + r.w <= 600 THEN g.total + r.w ELSE g.total END, CASE WHEN g.total + r.w <= 600 THEN list_append(g.kept, r.turn) ELSE g.kept END FROM g JOIN r ON r.conv_id = g.conv_id AND r.i = g.i + 1)
+SELECT conv_id, array_to_string(list_sort(kept), ',') AS kept FROM g QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1""")
 def greedy_prune(spark, d):
     """Budgeted choice of a conversation's turns by length, with a skip-over budget."""
     items = F.collect_list(F.struct(F.col("turn").alias("idx"), F.length("text").alias("words"), (F.length("text") % 97).cast("double").alias("score")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.session import table
+from tessella.work import spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -90,12 +91,18 @@ def redacted_events(spark, d):
     return table(spark, d, "events").select("event_id", T.redact(made).alias("payload"))
 
 
-@query("hashes_and_summaries", """
-SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, CASE WHEN length(text) < 300 THEN left(text, 150) ELSE left(trim(text), 150) END AS summary,
-  CASE WHEN length(text) < 1024 THEN printf('%.1fB', length(text)::DOUBLE) ELSE printf('%.1fKB', length(text) / 1024.0::DOUBLE) END AS size FROM documents WHERE length(text) < 1000000""")
+def _size_sql(n: str) -> str:
+    cases = " ".join(f"WHEN {n} < {1024 ** (p + 1)} THEN printf('%.1f{u}', ({n}) / {1024**p}.0::DOUBLE)" for p, u in enumerate(["B", "KB", "MB", "GB"]))
+    return f"CASE {cases} ELSE printf('%.1fTB', ({n}) / {1024**4}.0::DOUBLE) END"
+
+
+@query("hashes_and_summaries", f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n FROM documents)
+SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, CASE WHEN n < 300 THEN left(text, 150) ELSE left(trim(text), 150) END AS summary,
+  {_size_sql('n')} AS size, {_size_sql('n * 5000')} AS size_of_5000, {_size_sql('n * 3000000000')} AS size_of_3e9 FROM t""")
 def hashes_and_summaries(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").where(F.length(t) < 1000000).select("doc_id", T.content_hash(t).alias("content_hash"), T.summary(t).alias("summary"), T.file_size(F.length(t)).alias("size"))
+    t, n = T.filled(F.col("text")), F.length(T.filled(F.col("text"))).cast("long")
+    return table(spark, d, "documents").select("doc_id", T.content_hash(t).alias("content_hash"), T.summary(t).alias("summary"), T.file_size(n).alias("size"), T.file_size(n * 5000).alias("size_of_5000"), T.file_size(n * 3_000_000_000).alias("size_of_3e9"))
 
 
 @query("reranker_documents", """

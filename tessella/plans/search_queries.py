@@ -8,6 +8,8 @@ from tessella.functions import metrics as M
 from tessella.functions import text as T
 from tessella.operators import retrieval as R
 from tessella.session import table
+from tessella.sources.index import index_of
+from tessella.work import spread
 
 QUERIES, ORACLE_SQL = {}, {}
 K = 5
@@ -66,12 +68,12 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def _keyword(spark, d, k=20):
-    postings, idf = R.tfidf_index(_corpus(spark, d))
-    return R.keyword_search(_queries(spark, d), postings, idf, k)
+    index = index_of(_corpus(spark, d))
+    return R.keyword_search(_queries(spark, d), index.postings, index.idf, k)
 
 
 def _vector(spark, d, k=20):
-    return R.vector_search(R.hash_vectors(_queries(spark, d), "query_id", F.col("text")), R.hash_vectors(_corpus(spark, d), "chunk_id", F.col("text")), k)
+    return R.vector_search(R.hash_vectors(_queries(spark, d), "query_id", F.col("text")), index_of(_corpus(spark, d)).vectors, k)
 
 
 def _lists(spark, d):
@@ -92,7 +94,7 @@ def keyword_search_topk(spark, d):
 
 @query("hash_embedding_cells", f"WITH {_cells('dc', 'documents', 'doc_id', 'text')} SELECT doc_id, bucket::INT AS bucket, round(value, 6) AS value FROM dc")
 def hash_embedding_cells(spark, d):
-    return R.hash_cells(table(spark, d, "documents"), "doc_id", F.col("text")).select("doc_id", "bucket", F.round("value", 6).alias("value"))
+    return R.hash_cells(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text")).select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
 
 @query("hash_vector_topk", f"WITH {_VECTOR} SELECT query_id, chunk_id, score, rank FROM vector")
@@ -170,7 +172,8 @@ scored AS (SELECT query_id,
 def _cases(spark, d):
     found = _keyword(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("f")).select("query_id", F.transform("f", lambda s: s["chunk_id"]).alias("found"))
     b, docs = _queries(spark, d), _corpus(spark, d)
-    rel = docs.alias("d").join(b.alias("b"), F.contains(F.col("d.text"), F.col("b.text"))).groupBy("query_id").agg(F.collect_set("chunk_id").alias("relevant"))
+    index = index_of(docs)
+    rel = R.containing(b, docs, index.postings, index.idf).groupBy("query_id").agg(F.collect_set("chunk_id").alias("relevant"))
     none = F.array().cast("array<bigint>")
     return b.join(found, "query_id", "left").join(rel, "query_id", "left").select("query_id", F.coalesce("found", none).alias("found"), F.coalesce("relevant", none).alias("relevant"))
 

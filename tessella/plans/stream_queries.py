@@ -49,6 +49,10 @@ def stream_distinct(spark, d):
     return E.distinct_events(e.unionByName(e)).select("event_id", "event_type")
 
 
-@query("stream_filter")
+@query("stream_filter", """SELECT event_id, length(body) > 0 AS has_body, 'event: ' || event_type || E'\\ndata: ' AS sse_head, event_id AS body_id, event_type AS body_type
+FROM (SELECT event_id, event_type, to_json({'event_id': event_id}) AS body FROM events WHERE event_type IN ('error', 'purchase'))""")
 def stream_filter(spark, d):
-    return E.of_types(_events(spark, d), ["error", "purchase"])
+    """Events of two types; numbers are written differently by engines, so the bodies are read back."""
+    out = E.of_types(_events(spark, d), ["error", "purchase"])
+    parts = F.from_json("json", "event_id long, event_type string, value double")
+    return out.select("event_id", (F.length("json") > 0).alias("has_body"), F.regexp_extract("sse", r"(?s)^(event: \w+\ndata: )", 1).alias("sse_head"), parts["event_id"].alias("body_id"), parts["event_type"].alias("body_type"))
