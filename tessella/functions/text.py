@@ -75,6 +75,17 @@ def clean_invisible(c: Column) -> Column:
     return F.regexp_replace(filled(c), INVISIBLE, "")
 
 
+def all_ideographs(c: Column) -> Column:
+    """Whether a text is one or more CJK ideographs and nothing else."""
+    return F.rlike(filled(c), F.lit("^[一-鿿]+$"))
+
+
+def token_pair(question: Column, document: Column, most: int) -> tuple[Column, Column]:
+    """Both cut to their first tokens, a half of ``most`` for the question and the rest for the document."""
+    half = most // 2
+    return F.array_join(F.slice(tokens(question), 1, half), " "), F.array_join(F.slice(tokens(document), 1, most - half), " ")
+
+
 def is_ui_noise(c: Column) -> Column:
     return F.rlike(F.trim(filled(c)), F.lit(UI_NOISE))
 

@@ -33,6 +33,22 @@ def dedup_first(df: DataFrame, key: Column, position: Column) -> DataFrame:
     return marked.join(first, ["_key", "_at"], "left_semi").drop("_key", "_at")
 
 
+def best_copies(df: DataFrame, key: str, score: Column, position: Column) -> DataFrame:
+    """The row of each key with the highest score; of equal scores the first, and scores before none."""
+    marked = df.withColumn("_s", score).withColumn("_at", position)
+    order = F.struct(F.col("_s").isNull().alias("none"), (-F.col("_s")).alias("s"), F.col("_at").alias("at"))
+    best = marked.groupBy(key).agg(F.min(order).alias("_b")).select(key, F.col("_b.at").alias("_at"))
+    return marked.join(best, [key, "_at"], "left_semi").drop("_s", "_at")
+
+
+def distinct_after_fusion(df: DataFrame, key: Column, text: Column, position: Column, threshold: float = 1.0) -> DataFrame:
+    """The first row of each key; below a ``threshold`` of 1 also one row of each group of equal cleaned texts."""
+    first = dedup_first(df, key, position)
+    if threshold >= 1:
+        return first
+    return dedup_latest(first, text=text, newest=F.timestamp_seconds(F.lit(0)), position=position)
+
+
 def block_key(idx: Column, text: Column, summary: Column, title: Column) -> Column:
     """Identity of a block: its index, or a hash of its text where the index is negative."""
     body = F.coalesce(*(F.nullif(T.filled(c), F.lit("")) for c in (text, summary, title)), F.lit(""))

@@ -234,3 +234,35 @@ def extractive_answer(ranked: DataFrame, most: int = 200) -> DataFrame:
     head = F.concat(F.lit("根据知识库检索结果，为您找到以下 "), F.col("n").cast("string"), F.lit(" 条相关信息："))
     foot = F.lit("（以上内容直接摘录自知识库，未经 LLM 润色；如需更完整的智能问答，请部署生成模型服务）")
     return g.select("query_id", F.concat_ws("\n", head, F.array_join(F.transform("ls", lambda s: s["l"]), "\n"), foot).alias("answer"))
+
+
+def citations(ranked: DataFrame) -> DataFrame:
+    """(query_id, index, page_url, block_path, title, score) of ranked contexts."""
+    return ranked.select("query_id", F.col("rank").alias("index"), "page_url", "block_path", "title", F.round("score", 4).alias("score"))
+
+
+def cited_contexts(ranked: DataFrame, budget: int | None) -> DataFrame:
+    """The contexts that :func:`assemble_context` lets in, whole or cut; all of them without a budget."""
+    if budget is None:
+        return ranked
+    # "[rank] title", a line feed, the text, a line feed
+    own = F.length(F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"))) + F.length("text") + 2
+    before = F.sum(own).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    return ranked.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < budget).drop("_before")
+
+
+def boosted_search(queries: DataFrame, counts: DataFrame, fields: DataFrame, boosts: dict[str, int], k: int, *, id_col: str = "chunk_id") -> DataFrame:
+    """Top-k by the distinct terms of a query that a document has: 1 for its text, and for each field its boost.
+
+    ``counts`` are the (id, term) of the texts, ``fields`` has the other fields beside the id.
+    """
+    terms = term_counts(queries, "query_id", F.col("text")).select("query_id", "term")
+    found = counts.select(id_col, "term", F.lit(1).cast("long").alias("boost"))
+    for name, boost in boosts.items():
+        found = found.unionByName(term_counts(fields, id_col, F.col(name)).select(id_col, "term", F.lit(boost).cast("long").alias("boost")))
+    return top_k(terms.join(found, "term").groupBy("query_id", id_col).agg(F.sum("boost").alias("score")), k, tie=id_col)
+
+
+def chunks_of(sample: DataFrame, corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The rows of ``corpus`` for each sampled id; ids without a block, or with an empty one, are left out."""
+    return sample.join(corpus, key).where(F.col(text) != "")

@@ -34,7 +34,7 @@ SELECT doc_id, length(text)::BIGINT AS n_chars_all, len(list_filter(regexp_split
   length(text) // 4 AS n_tokens FROM documents""")
 def text_counts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.chars_or_words(t, True).cast("long").alias("n_chars_all"), T.chars_or_words(t, False).cast("long").alias("n_words"), T.dense_chars(t).cast("long").alias("n_dense"), F.length(T.clean_text(t)).cast("long").alias("n_content"), T.token_estimate(t).alias("n_tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.chars_or_words(t, True).cast("long").alias("n_chars_all"), T.chars_or_words(t, False).cast("long").alias("n_words"), T.dense_chars(t).cast("long").alias("n_dense"), F.length(T.clean_text(t)).cast("long").alias("n_content"), T.token_estimate(t).alias("n_tokens"))
 
 
 @query("text_cleaning", """
