@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: dict[int, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A folder for work tables below ``spark.checkpoint.dir``, which the cluster shares.
-
-    Where the setting is absent a local session gets a temporary folder; any other
-    master is refused, since its executors could not read such a folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        key = id(spark.sparkContext)
-        if key not in _MADE:
-            folder = tempfile.TemporaryDirectory(prefix="tessella-")
-            atexit.register(folder.cleanup)
-            _MADE[key] = folder.name
-        base = f"file://{_MADE[key]}"
-    return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
-
+from tessella.work import Workspace, work_folder
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     """Send at most ``rows`` rows at once to Python workers, unless the session has its own setting.
@@ -47,6 +24,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
+__all__ = ["MEMOS", "Workspace", "begin_task", "bounded_sample", "fresh_name", "held_out", "in_pieces", "release", "small_batches", "texts_of", "work_folder"]
+
 #: What drops the memo of a module in this Python worker, by module.
 MEMOS: dict[str, Callable[[], None]] = {}
 
@@ -67,45 +46,6 @@ def begin_task(module: str) -> None:
     release()
 
 
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """``key`` set to ``value`` for as long as the block runs."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
-class Workspace:
-    """Work tables of one query: written once, read back, and so cut off from their lineage."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.count = spark, work_folder(spark), 0
-
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` as Parquet in the shared folder and return it read back.
-
-        Spark deletes the shuffle files of the write as soon as it ends: nothing reads them again.
-        """
-        self.count += 1
-        path = f"{self.folder}/{self.count:03d}-{name}"
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tessella_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that :meth:`keep` made and that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tessella_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True where crc32 of the id's text is a multiple of 5."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
