@@ -1,14 +1,17 @@
 """A corpus kept as Parquet snapshots: blocks, registry and versions.
 
-A change writes a whole new snapshot beside the old one and then names it in a manifest;
-readers follow the manifest, so a change that fails leaves the corpus as it was.
+Documents are dealt into buckets by the hash of their id. A change writes new files for the
+buckets that it touches, beside the old ones, and then names the files of every bucket in a
+manifest; readers follow the newest manifest, so a change that fails leaves the corpus as it
+was, and one document costs a bucket, not the corpus.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -21,31 +24,56 @@ VERSIONS = "doc_id string, hash string, num_chunks long, filename string, create
 _SCHEMAS = {"blocks": BLOCKS, "versions": VERSIONS}
 
 
+BUCKETS = 64
+_MANIFEST = "number long, top long, blocks map<string,string>, versions map<string,string>"
+
+
+def _bucket(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id, F.lit("")).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def digest(blocks: DataFrame) -> DataFrame:
+    """(doc_id, hash, num_chunks): the hash of each document's texts in order."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda s: s["text"])
+    return blocks.groupBy("doc_id").agg(F.substring(F.sha2(F.array_join(texts, "\n"), 256), 1, 16).alias("hash"), F.count("*").alias("num_chunks"))
+
+
 class Corpus:
     """Blocks by id, and the versions of their documents."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _manifest(self) -> dict[str, str]:
+    def _manifest(self) -> dict:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return {}
-        newest = self.spark.read.json(f"{self.folder}/manifest").orderBy(F.desc("number")).first()
-        return {} if newest is None else newest.asDict()
-
-    def _commit(self, **tables: DataFrame) -> None:
-        now = self._manifest()
-        paths = {name: now.get(name) for name in _SCHEMAS}
+        newest = None
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            newest = self.spark.read.schema(_MANIFEST).json(f"{self.folder}/manifest").orderBy(F.desc("number")).first()
+        if newest is None:
+            return {"number": 0, "top": -1} | {name: {} for name in _SCHEMAS}
+        return newest.asDict() | {name: {int(b): p for b, p in (newest[name] or {}).items()} for name in _SCHEMAS}
+
+    def _commit(self, top: int | None, touched: list[int], **tables: DataFrame) -> None:
+        """Put ``tables`` in place of what the ``touched`` buckets held."""
+        entry = self._manifest()
+        entry["number"] += 1
+        entry["top"] = entry["top"] if top is None else top
         for name, df in tables.items():
-            paths[name] = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(paths[name])
-        entry = {"number": (now.get("number") or 0) + 1, **{k: v for k, v in paths.items() if v}}
-        self.spark.createDataFrame([entry]).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
-
-    def _read(self, name: str) -> DataFrame:
-        path = self._manifest().get(name)
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], _SCHEMAS[name])
+            path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+            df.withColumn("bucket", _bucket(F.col("doc_id"))).write.partitionBy("bucket").parquet(path)
+            held = {r.bucket for r in self.spark.read.parquet(path).select("bucket").distinct().collect()} if self._has_files(path) else set()
+            entry[name] = {b: p for b, p in entry[name].items() if b not in touched} | {b: f"{path}/bucket={b}" for b in touched if b in held}
+        entry |= {name: {str(b): p for b, p in entry[name].items()} for name in _SCHEMAS}
+        self.spark.createDataFrame([entry], _MANIFEST).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+
+    def _has_files(self, path: str) -> bool:
+        """Whether a table written in buckets has any; one without rows has no bucket."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return any(f.getPath().getName().startswith("bucket=") for f in where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where))
+
+    def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        paths = [p for b, p in sorted(self._manifest()[name].items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMAS[name])
 
     @property
     def blocks(self) -> DataFrame:
@@ -59,37 +87,52 @@ class Corpus:
         return self.blocks.groupBy("doc_id").agg(F.first("source").alias("source"), F.count("*").alias("num_chunks"), F.min("global_chunk_idx").alias("first_chunk"), F.max("global_chunk_idx").alias("last_chunk"))
 
     def ingest(self, blocks: DataFrame, doc_id: str, filename: str = "", at: str = "1970-01-01 00:00:00") -> int:
-        """Add a document's blocks that have a text; an earlier document of that id is replaced. Returns their number.
+        """:meth:`ingest_all` for one document; returns the number of its blocks."""
+        return self.ingest_all(blocks.withColumn("doc_id", F.lit(doc_id)).withColumn("filename", F.lit(filename)), at)
+
+    def ingest_all(self, blocks: DataFrame, at: str = "1970-01-01 00:00:00") -> int:
+        """Add the blocks that have a text, of documents by ``doc_id`` and ``filename``, in one commit; returns their number.
 
-        New ids follow the largest id in the corpus.
+        An earlier document of an id is replaced. New ids follow the largest id ever given, by
+        doc_id and then place. A document of more than ``MOST_BLOCKS`` blocks refuses them all.
         """
-        good = blocks.where(F.trim(T.filled(F.col("text"))) != "")
-        n = good.count()
-        if n > MOST_BLOCKS:
-            raise ValueError(f"{n} blocks, at most {MOST_BLOCKS}")
-        old = self.blocks.where(F.col("doc_id") != doc_id)
-        top = self.blocks.agg(F.max("global_chunk_idx")).first()[0]
-        base = -1 if top is None else top
-        order = Window.orderBy("chunk_idx", "text")  # one document: MOST_BLOCKS rows at most
-        have = set(good.columns)
-        names = [c.split()[0] for c in BLOCKS.split(", ")]
-        fill = {"doc_id": F.lit(doc_id), "global_chunk_idx": F.row_number().over(order).cast("long") + base}
         kinds = dict(c.split() for c in BLOCKS.split(", "))
-        new = good.select(*(fill.get(c, F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in names))
-        row = new.agg(F.lit(doc_id).alias("doc_id"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda s: s["text"]), "\n"), 256), 1, 16).alias("hash"), F.count("*").alias("num_chunks"), F.lit(filename).alias("filename"), F.lit(at).cast("timestamp").alias("created_at"))
-        history = self.versions.unionByName(row).withColumn("version", F.monotonically_increasing_id())
-        self._commit(blocks=old.unionByName(new), versions=K.last_versions(history, MOST_VERSIONS).drop("version"))
-        return n
+        have = set(blocks.columns)
+        wide = blocks.select(*((F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items() if c != "global_chunk_idx"), "filename")
+        good = wide.where(F.trim(T.filled(F.col("text"))) != "")
+        sizes = {r.doc_id: r for r in good.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("filename").alias("filename"), _bucket(F.col("doc_id")).alias("bucket")).collect()}
+        if over := [f"{r.n} blocks, at most {MOST_BLOCKS}: {d}" for d, r in sizes.items() if r.n > MOST_BLOCKS]:
+            raise ValueError("; ".join(over))
+        ids = {r.doc_id for r in blocks.select("doc_id").distinct().collect()}
+        touched = sorted({zlib.crc32((d or "").encode()) % BUCKETS for d in ids})
+        top = self._manifest()["top"]
+        starts, at_id = [], top
+        for d in sorted(sizes, key=lambda d: (d is not None, d or "")):
+            starts.append((d, at_id, sizes[d].filename))
+            at_id += sizes[d].n
+        first = F.broadcast(self.spark.createDataFrame(starts, "d string, base long, name string"))
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_idx", "text"))  # MOST_BLOCKS rows at most
+        new = good.withColumn("_n", place).join(first, good["doc_id"].eqNullSafe(F.col("d"))).withColumn("global_chunk_idx", F.col("_n") + F.col("base")).select(*kinds)
+        stay = lambda df: df.where(~F.coalesce(F.col("doc_id").isin([d for d in ids if d is not None]), F.lit(None in ids)))
+        rows = digest(new).join(first, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "hash", "num_chunks", F.col("name").alias("filename"), F.lit(at).cast("timestamp").alias("created_at"))
+        history = self._read("versions", touched).withColumn("version", F.lit(0)).unionByName(rows.withColumn("version", F.lit(1)))
+        self._commit(at_id, touched, blocks=stay(self._read("blocks", touched)).unionByName(new), versions=K.last_versions(history, MOST_VERSIONS).drop("version"))
+        return sum(r.n for r in sizes.values())
 
     def delete(self, doc_id: str) -> bool:
         """Take a document out; True if it was there."""
-        there = self.blocks.where(F.col("doc_id") == doc_id).limit(1).count() > 0
+        buckets = [zlib.crc32(doc_id.encode()) % BUCKETS]
+        held = self._read("blocks", buckets)
+        there = not held.where(F.col("doc_id") == doc_id).isEmpty()
         if there:
-            self._commit(blocks=self.blocks.where(F.col("doc_id") != doc_id))
+            self._commit(None, buckets, blocks=held.where(~F.col("doc_id").eqNullSafe(doc_id)))
         return there
 
     def delete_page(self, page_url: str) -> None:
-        self._commit(blocks=self.blocks.where(~F.col("page_url").eqNullSafe(page_url)))
+        """Take out the blocks of a page, whatever their documents."""
+        buckets = sorted(r.b for r in self.blocks.where(F.col("page_url") == page_url).select(_bucket(F.col("doc_id")).alias("b")).distinct().collect())
+        if buckets:
+            self._commit(None, buckets, blocks=self._read("blocks", buckets).where(~F.col("page_url").eqNullSafe(page_url)))
 
     def stats(self) -> DataFrame:
         return self.blocks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"))

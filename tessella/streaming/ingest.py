@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.sources.files import BLOCK_FIELDS
-from tessella.sources.store import Corpus
+from tessella.sources.store import Corpus, digest
 
 
 def ingest_folder(spark: SparkSession, folder: str, corpus: Corpus, *, files: int = 100):
@@ -21,10 +21,11 @@ def ingest_folder(spark: SparkSession, folder: str, corpus: Corpus, *, files: in
 
     def merge(batch: DataFrame, _: int) -> None:
         kept = batch.where(F.trim(T.filled(F.col("text"))) != "")
-        hashes = kept.groupBy("path").agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda s: s["text"]), "\n"), 256), 1, 16).alias("hash"))
-        latest = corpus.versions.groupBy("doc_id").agg(F.max_by("hash", "created_at").alias("latest"))
-        wanted = hashes.join(latest, hashes["path"] == latest["doc_id"], "left").where(~F.col("hash").eqNullSafe(F.col("latest")))
-        for (path,) in wanted.select("path").limit(files).collect():
-            corpus.ingest(kept.where(F.col("path") == path), path, path.rsplit("/", 1)[-1])
+        named = kept.withColumn("doc_id", F.col("path")).withColumn("filename", F.element_at(F.split("path", "/"), -1))
+        latest = corpus.versions.groupBy(F.col("doc_id").alias("known")).agg(F.max_by("hash", "created_at").alias("latest"))
+        hashes = digest(named.withColumn("chunk_idx", F.col("chunk_idx").cast("int")))
+        wanted = hashes.join(latest, hashes["doc_id"] == latest["known"], "left").where(~F.col("hash").eqNullSafe(F.col("latest"))).select("doc_id")
+        if not wanted.isEmpty():
+            corpus.ingest_all(named.join(wanted, "doc_id", "left_semi"))
 
     return named.writeStream.foreachBatch(merge)

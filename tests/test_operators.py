@@ -247,3 +247,32 @@ def test_conversation_sizes_add_up_over_triggers(spark, sf_dir, tmp_path):
     got = {r.conv_id: (r.turns, r.tokens) for r in spark.table("sizes").groupBy("conv_id").agg(F.max("turns").alias("turns"), F.max("tokens").alias("tokens")).collect()}
     want = {r.conv_id: (r.n, r.t) for r in turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(T.token_estimate(F.col("text")) + 4).alias("t")).collect()}
     assert got == want and {r.compress for r in spark.table("sizes").collect()} == {True, False}
+
+
+def test_corpus_touches_only_the_buckets_of_a_change(spark, tmp_path):
+    corpus = store.Corpus(spark, str(tmp_path / "kb"))
+    many = spark.createDataFrame([(f"d{i}", f"f{i}", k, f"text {i} {k}", f"u{i % 3}") for i in range(30) for k in range(2)] + [("d0", "f0", 9, " ", "u0")], "doc_id string, filename string, chunk_idx int, text string, page_url string")
+    assert corpus.ingest_all(many) == 60
+    ids = corpus.blocks.orderBy("doc_id", "chunk_idx").collect()
+    assert [r.global_chunk_idx for r in ids] == list(range(60)) and corpus.versions.count() == 30
+    before = corpus._manifest()["blocks"]
+    assert corpus.ingest(spark.createDataFrame([(0, "new")], "chunk_idx int, text string"), "d7", "f7", "2020-01-01 00:00:00") == 1
+    after = corpus._manifest()["blocks"]
+    assert sum(before.get(b) != after.get(b) for b in before | after) == 1
+    assert [(r.global_chunk_idx, r.text) for r in corpus.blocks.where("doc_id = 'd7'").collect()] == [(60, "new")] and corpus.blocks.count() == 59
+    assert corpus.versions.where("doc_id = 'd7'").count() == 2
+    assert corpus.delete("d7") and not corpus.delete("d7") and corpus.blocks.count() == 58
+    corpus.delete_page("u1")
+    assert corpus.blocks.where("page_url = 'u1'").count() == 0 and corpus.blocks.count() == 40
+    with pytest.raises(ValueError):
+        corpus.ingest(spark.range(store.MOST_BLOCKS + 1).selectExpr("cast(id as int) as chunk_idx", "'t' as text"), "big")
+    assert corpus.blocks.count() == 40 and corpus.ingest_all(many.limit(0)) == 0 and corpus.blocks.count() == 40
+
+
+def test_negatives_draw_from_the_whole_pool(spark):
+    pool = spark.range(20_000).withColumnRenamed("id", "chunk_id")
+    taken = spark.range(19_900).selectExpr("1L as query_id", "id as chunk_id")
+    queries = spark.createDataFrame([(1,), (2,)], "query_id long")
+    got = D.random_negatives(queries, pool, taken).collect()
+    assert sorted(r.query_id for r in got) == [1, 1, 2, 2] and all(r.query_id == 2 or r.chunk_id >= 19_900 for r in got)
+    assert D.random_negatives(queries, pool.limit(1), taken.limit(0)).count() == 2
