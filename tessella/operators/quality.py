@@ -16,14 +16,16 @@ def dedup_latest(df: DataFrame, *, text: Column, newest: Column, position: Colum
 
     A text that cleans to nothing is never a duplicate. The winner of each key is found by
     an aggregation that combines before the shuffle, so a key that holds a third of all rows
-    is no burden; rows then meet their key's winner in a join that can be split.
+    is no burden; rows then meet their key's winner in a join that can be split. The join
+    takes nulls as equal, since a test for null would be pushed down and hash every text again.
     """
-    key = F.lower(T.clean_text(text))
-    # texts that clean to nothing get a key of their own
-    marked = df.withColumn("_at", position).withColumn("_h", F.when(key == "", F.concat(F.lit("-"), F.col("_at").cast("string"))).otherwise(F.sha2(key, 256)))
+    # the hash stands in a column of its own before it is tested, so that it is computed once
+    hashed = df.withColumn("_at", position).withColumn("_h", F.sha2(F.lower(T.clean_text(text)), 256))
+    empty = F.sha2(F.lit(""), 256)  # texts that clean to nothing get a key of their own
+    marked = hashed.withColumn("_h", F.when(F.col("_h") == empty, F.concat(F.lit("-"), F.col("_at").cast("string"))).otherwise(F.col("_h")))
     rank = F.struct(F.unix_micros(newest).alias("t"), (-F.col("_at")).alias("p"))
     winners = marked.groupBy(F.col("_h").alias("_k")).agg(F.max(rank).alias("_w")).select("_k", (-F.col("_w.p")).alias("_p"))
-    return marked.join(winners, (F.col("_h") == F.col("_k")) & (F.col("_at") == F.col("_p")), "left_semi").drop("_h", "_at")
+    return marked.join(winners, F.col("_h").eqNullSafe(F.col("_k")) & F.col("_at").eqNullSafe(F.col("_p")), "left_semi").drop("_h", "_at")
 
 
 def dedup_first(df: DataFrame, key: Column, position: Column) -> DataFrame:

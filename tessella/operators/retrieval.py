@@ -103,8 +103,19 @@ def hash_cells(df: DataFrame, key: str, text: Column, dims: int = DIMENSIONS) ->
 
 
 def _dense(cells: DataFrame, key: str, dims: int) -> DataFrame:
-    by_bucket = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-    return by_bucket.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
+    """(key, vector) of (key, bucket, value): cells meet by key, and a kernel puts a batch of them in place at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.flatten()
+            out = np.zeros((batch.num_rows, dims))
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            out[row, at.field(0).to_numpy(zero_copy_only=False)] = at.field(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), dims).cast(pa.list_(pa.float64()))], names=[key, "vector"])
+
+    own = cells.groupBy(key).agg(F.collect_list(F.struct("bucket", "value")).alias("cells"))
+    return own.mapInArrow(run, f"{key} {cells.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 def vectors_of_counts(counts: DataFrame, key: str, dims: int = DIMENSIONS) -> DataFrame:

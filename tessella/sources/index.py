@@ -7,37 +7,38 @@ terms, and ``vectors`` (id, vector), the hash embeddings.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import retrieval as R
 from tessella.work import setting, spread, work_folder
 
-TABLES = ("counts", "idf", "postings", "vectors")
+def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 class SearchIndex:
-    """The tables of an index by attribute."""
+    """The tables of an index by attribute; the vectors are written when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, counts: DataFrame, idf: DataFrame, postings: DataFrame):
+        self.spark, self.folder, self.counts, self.idf, self.postings = spark, folder, counts, idf, postings
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.folder = folder
-        self.counts, self.idf, self.postings, self.vectors = (spark.read.parquet(f"{folder}/{name}") for name in TABLES)
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return _kept(self.spark, R.vectors_of_counts(self.counts, "chunk_id"), f"{self.folder}/vectors")
 
 
 def build(corpus: DataFrame, folder: str) -> SearchIndex:
     """Index (chunk_id, text) rows into ``folder``; each table is computed from the ones before."""
     spark = corpus.sparkSession
-
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    counts = keep("counts", R.term_counts(spread(corpus.select("chunk_id", "text")), "chunk_id", F.col("text")))
-    idf = keep("idf", R.idf_of(counts, corpus))
-    keep("postings", R.postings_of(counts, idf).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
-    keep("vectors", R.vectors_of_counts(counts, "chunk_id"))
-    return SearchIndex(spark, folder)
+    counts = _kept(spark, R.term_counts(spread(corpus.select("chunk_id", "text")), "chunk_id", F.col("text")), f"{folder}/counts")
+    idf = _kept(spark, R.idf_of(counts, corpus), f"{folder}/idf")
+    by_term = R.postings_of(counts, idf).repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    return SearchIndex(spark, folder, counts, idf, _kept(spark, by_term, f"{folder}/postings"))
 
 
 _BUILT: dict[tuple, SearchIndex] = {}
