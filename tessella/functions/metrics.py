@@ -51,6 +51,13 @@ def groundedness(answer: Column, context: Column) -> Column:
     return F.round(F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, F.array_distinct(tokens(context)))) / F.size(a)), 4)
 
 
+def groundedness_in(answer: Column, contexts: Column) -> Column:
+    """Share of the answer's distinct tokens that any text of an array has, null texts aside."""
+    a = F.array_distinct(tokens(answer))
+    union = F.array_distinct(F.flatten(F.transform(contexts, tokens)))
+    return F.round(F.when((F.size(a) == 0) | (F.size(union) == 0), 0.0).otherwise(F.size(F.array_intersect(a, union)) / F.size(a)), 4)
+
+
 def log_sigmoid(x: Column) -> Column:
     return -F.log1p(F.exp(-x))
 

@@ -230,3 +230,77 @@ def front_matter(c: Column) -> tuple[Column, Column]:
     block = F.regexp_extract(filled(c), r"(?s)^---\s*\n(.*?)\n---\s*\n", 1)
     field = lambda key: F.nullif(F.trim(F.regexp_extract(block, rf"(?m)^{key}:[ \t]*(.*)$", 1)), F.lit(""))
     return field("name"), field("description")
+
+
+def lines_within(c: Column, budget: int) -> Column:
+    """The first lines of a text while their estimated tokens stay within ``budget``; texts within it stay whole."""
+    lines = F.split(filled(c), "\n")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("kept"))
+
+    def step(s: Column, line: Column) -> Column:
+        used = s["used"] + F.floor(F.length(line) / 4)
+        return F.struct(used.alias("used"), F.when(used <= budget, s["kept"] + 1).otherwise(s["kept"]).alias("kept"))
+
+    kept = F.aggregate(lines, start, step, lambda s: s["kept"])
+    return F.when(token_estimate(c) <= budget, filled(c)).otherwise(F.array_join(F.slice(lines, F.lit(1), kept), "\n"))
+
+
+def coerced(value: Column, kind: Column) -> Column:
+    """Struct (number, integer, flag, text) of an argument by its declared type, one field set.
+
+    Names of types may be in either case. An argument that does not read as its type, or whose
+    type is not known, stays text; every text is a flag, true for true, 1 and yes in either case.
+    """
+    k = F.lower(filled(kind))
+    number = F.when(k.isin("number", "float"), value.try_cast("double"))
+    integer = F.when(k.isin("integer", "int"), F.when(value.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(value).try_cast("long")))
+    flag = F.when(k.isin("boolean", "bool"), F.lower(value).isin("true", "1", "yes"))
+    text = F.when(number.isNull() & integer.isNull() & flag.isNull(), value)
+    return F.struct(number.alias("number"), integer.alias("integer"), flag.alias("flag"), text.alias("text"))
+
+
+def setting_flag(value: Column) -> Column:
+    """Whether a setting's text means yes; null where it is not set."""
+    return F.when(filled(value) != "", F.lower(F.trim(value)).isin("1", "true", "yes", "on"))
+
+
+def selected_answer(response: Column, n: int) -> Column:
+    """Struct (query, place) of a reply that names a question and the number of its document, of n; both null where it does not."""
+    lines = F.filter(F.transform(F.split(filled(response), r"\r\n|\r|\n"), stripped), lambda x: x != "")
+    after = lambda words: F.regexp_extract(F.get(F.filter(lines, lambda x: F.contains(x, F.lit(words))), F.lit(0)), rf"{words}(.*)$", 1)
+    query = stripped(after("问题："))
+    number = F.regexp_extract(after("编号"), r"^[：:.)） ]*([+-]?[0-9]+)[：:.)） ]*$", 1).try_cast("int") - 1
+    good = (query != "") & number.between(0, n - 1)
+    return F.struct(F.when(good, query).alias("query"), F.when(good, number).alias("place"))
+
+
+def search_body(keywords: Column, fields: dict[str, tuple[float, bool]], synonyms: dict[str, list[str]] | None = None) -> Column:
+    """The body of a keyword search as JSON: for each word and field (boost, fuzzy), the exact term, close terms and a phrase.
+
+    Exact terms count 1.2 times the boost, close ones 0.5, phrases of words of two characters or
+    more 0.8; 30 % of the clauses must match. Without a word nothing matches.
+    """
+    def quoted(c: Column) -> Column:
+        body = F.to_json(F.array(c))
+        return F.substr(body, F.lit(2), F.length(body) - 2)
+
+    known = F.create_map(*(x for w, s in (synonyms or {}).items() for x in (F.lit(w), F.array(*map(F.lit, s))))) if synonyms else None
+
+    def clause(word: Column, field: str, boost: float, fuzzy: bool) -> Column:
+        same = F.coalesce(F.try_element_at(known, word), F.array(word)) if synonyms else F.array(word)
+        none = F.array().cast("array<string>")
+        parts = [F.array(F.concat(F.lit(f'{{"terms":{{"{field}.keyword":'), F.to_json(same), F.lit(f',"boost":{boost * 1.2}}}}}')))]
+        if fuzzy:
+            parts.append(F.transform(same, lambda s: F.concat(F.lit(f'{{"match":{{"{field}":{{"query":'), quoted(s), F.lit(f',"fuzziness":"AUTO","boost":{boost * 0.5}}}}}}}'))))
+        phrase = F.transform(same, lambda s: F.concat(F.lit(f'{{"match_phrase":{{"{field}":{{"query":'), quoted(s), F.lit(f',"slop":2,"boost":{boost * 0.8}}}}}}}')))
+        parts.append(F.when(F.length(word) > 1, phrase).otherwise(none))
+        return F.concat(F.lit('{"bool":{"should":['), F.array_join(F.concat(*parts), ","), F.lit('],"minimum_should_match":1}}'))
+
+    each = F.flatten(F.transform(keywords, lambda w: F.array(*(clause(w, f, *how) for f, how in fields.items()))))
+    query = F.when(F.size(each) > 0, F.concat(F.lit('{"bool":{"should":['), F.array_join(each, ","), F.lit('],"minimum_should_match":"30%"}}'))).otherwise('{"match_none":{}}')
+    return F.concat(F.lit('{"query":'), query, F.lit(',"highlight":{"fields":{"*":{"pre_tags":["<em>"],"post_tags":["</em>"]}}}}'))
+
+
+def corpus_text(title: Column, summary: Column, question: Column, text: Column) -> Column:
+    """What a keyword index reads of a block: four fields with a space between, missing ones empty."""
+    return F.concat_ws(" ", *map(filled, (title, summary, question, text)))

@@ -7,6 +7,7 @@ import difflib
 import inspect
 import math
 import operator
+import typing
 from collections.abc import Callable
 from typing import Any
 
@@ -20,6 +21,28 @@ _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul,
 _NAMES = {"pi": math.pi, "e": math.e}
 _CALLS = {"abs": abs, "round": round, "max": max, "min": min, "sum": lambda *a: sum(a), "sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.tan, "log": math.log, "exp": math.exp}
 
+# The codes of errors, and names of types.
+CODES = [
+    "NOT_FOUND", "ACCESS_DENIED", "PERMISSION_DENIED", "IS_DIRECTORY", "BINARY_FILE", "INVALID_PARAM", "INVALID_FORMAT", "EXECUTION_ERROR",
+    "TIMEOUT", "INTERNAL_ERROR", "CONFLICT", "CIRCUIT_OPEN", "NETWORK_ERROR", "API_ERROR", "RATE_LIMIT",
+]
+TYPES = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array", dict: "object"}
+
+
+def type_name(annotation: Any) -> str:
+    """Name of a Python type in a tool's schema; lists and dicts of anything too, and string for what is unknown."""
+    return TYPES.get(typing.get_origin(annotation) or annotation, "string")
+
+
+def envelope(data: Column, code: Column, partial: Column) -> Column:
+    """Struct (status, code, data): error where there is a code, else partial or success.
+
+    An error carries no data, and a code that is not known counts as an internal error.
+    """
+    failed = code.isNotNull()
+    status = F.when(failed, "error").when(partial, "partial").otherwise("success")
+    return F.struct(status.alias("status"), F.when(failed, F.when(code.isin(CODES), code).otherwise("INTERNAL_ERROR")).alias("code"), F.when(~failed, data).alias("data"))
+
 
 def arithmetic(text: str) -> float:
     """Value of an expression of numbers, + - * / ** ^, and a few functions and constants."""
@@ -79,7 +102,7 @@ class Registry:
         return f
 
     def schema(self) -> list[dict]:
-        return [{"name": n, "about": inspect.getdoc(f) or "", "arguments": [p for p in inspect.signature(f).parameters]} for n, f in sorted(self.found.items())]
+        return [{"name": n, "about": inspect.getdoc(f) or "", "arguments": list(inspect.signature(f).parameters), "types": {n: type_name(t) for n, t in typing.get_type_hints(f).items() if n != "return"}} for n, f in sorted(self.found.items())]
 
     def call(self, name: str, **arguments: Any) -> dict:
         f = self.found.get(name)

@@ -277,3 +277,15 @@ def boosted_search(queries: DataFrame, counts: DataFrame, fields: DataFrame, boo
 def chunks_of(sample: DataFrame, corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows of ``corpus`` for each sampled id; ids without a block, or with an empty one, are left out."""
     return sample.join(corpus, key).where(F.col(text) != "")
+
+
+def joined_lists(lists: DataFrame, order: list[str], *, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score, rank): ranked lists one behind the other, the first copy of each id, for when fusion fails.
+
+    ``lists`` has retriever, query_id, rank, score and the id; ``order`` names the retrievers in
+    turn, and others are left out. The first results of this order are also what remains when reranking fails.
+    """
+    turn = F.array_position(F.array(*map(F.lit, order)), F.col("retriever"))
+    first = lists.where(turn > 0).groupBy("query_id", id_col).agg(F.min_by("score", F.struct(turn, "rank")).alias("score"), F.min(F.struct(turn.alias("turn"), "rank")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", id_col))
+    return first.select("query_id", id_col, "score", place.alias("rank"))

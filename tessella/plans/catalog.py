@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import assistant_queries, corpus_queries, dataset_queries, rule_queries, scalar_queries, search_queries, stream_queries
+from tessella.plans import assistant_queries, corpus_queries, dataset_queries, record_queries, rule_queries, scalar_queries, search_queries, stream_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (scalar_queries, search_queries, corpus_queries, dataset_queries, stream_queries, assistant_queries, rule_queries):
+for _module in (scalar_queries, search_queries, corpus_queries, dataset_queries, stream_queries, assistant_queries, rule_queries, record_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 

@@ -17,6 +17,14 @@ def windows(events: DataFrame, *, late: str = "10 minutes", size: str = "5 minut
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "mean")
 
 
+def error_rates(events: DataFrame, *, late: str = "10 minutes", size: str = "5 minutes", most: float = 0.05) -> DataFrame:
+    """(start, n, error_rate, alert) of each window: the share of errors, and whether it is above ``most``."""
+    source = events.withWatermark("ts", late) if events.isStreaming else events
+    g = source.groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    rate = F.round(F.col("errors") / F.col("n"), 4)
+    return g.select(F.col("w.start").alias("start"), "n", rate.alias("error_rate"), (rate > most).alias("alert"))
+
+
 def sessions(events: DataFrame, *, late: str = "10 minutes", gap: str = "1 minutes") -> DataFrame:
     """Sessions of each user: events with less than ``gap`` between them."""
     source = events.withWatermark("ts", late) if events.isStreaming else events
