@@ -52,9 +52,9 @@ def groundedness(answer: Column, context: Column) -> Column:
 
 
 def groundedness_in(answer: Column, contexts: Column) -> Column:
-    """Share of the answer's distinct tokens that any text of an array has, null texts aside."""
+    """Share of the answer's distinct tokens that any text of an array has, null texts aside; a null array is an empty one."""
     a = F.array_distinct(tokens(answer))
-    union = F.array_distinct(F.flatten(F.transform(contexts, tokens)))
+    union = F.coalesce(F.array_distinct(F.flatten(F.transform(contexts, tokens))), F.array().cast("array<string>"))
     return F.round(F.when((F.size(a) == 0) | (F.size(union) == 0), 0.0).otherwise(F.size(F.array_intersect(a, union)) / F.size(a)), 4)
 
 

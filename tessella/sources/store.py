@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import knowledge as K
+from tessella.operators.chunking import chunk_documents
+from tessella.sources.files import documents
 
 #: Most blocks of one ingest, most versions kept of a document.
 MOST_BLOCKS, MOST_VERSIONS = 5000, 50
@@ -119,6 +121,20 @@ class Corpus:
         self._commit(at_id, touched, blocks=stay(self._read("blocks", touched)).unionByName(new), versions=K.last_versions(history, MOST_VERSIONS).drop("version"))
         return sum(r.n for r in sizes.values())
 
+    def ingest_folder(self, folder: str, *, most: int = 500, overlap: int = 50, at: str = "1970-01-01 00:00:00") -> tuple[int, DataFrame]:
+        """Cut every readable file of a folder into chunks and add them in one commit.
+
+        Returns the number of blocks and the (path, error) of files that were refused. A document's
+        id is the hash of its path, so that a file read again replaces what it gave before.
+        """
+        read = documents(self.spark, folder).withColumn("file_id", F.xxhash64("path"))
+        good = read.where("error is null")
+        chunks = chunk_documents(good, id_col="file_id", most=most, overlap=overlap)
+        name = F.regexp_extract("path", "[^/]+$", 0)
+        named = good.select("file_id", F.substring(F.sha2("path", 256), 1, 16).alias("doc_id"), name.alias("filename"), F.col("path").alias("page_url"))
+        blocks = chunks.join(named, "file_id").select("doc_id", "filename", "chunk_idx", "text", "page_url", F.lit("upload").alias("source"), F.col("filename").alias("page_name"))
+        return self.ingest_all(blocks, at), read.where("error is not null").select("path", "error")
+
     def delete(self, doc_id: str) -> bool:
         """Take a document out; True if it was there."""
         buckets = [zlib.crc32(doc_id.encode()) % BUCKETS]
