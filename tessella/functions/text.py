@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -304,3 +306,19 @@ def search_body(keywords: Column, fields: dict[str, tuple[float, bool]], synonym
 def corpus_text(title: Column, summary: Column, question: Column, text: Column) -> Column:
     """What a keyword index reads of a block: four fields with a space between, missing ones empty."""
     return F.concat_ws(" ", *map(filled, (title, summary, question, text)))
+
+
+def from_template(template: str, values: dict[str, Column]) -> Column:
+    """A prompt: the ``{name}`` places of a template filled with columns in one pass, so that braces in values stay; nulls are empty."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(filled(values[name]))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def numbered(texts: Column, label: str, most: int | None = None) -> Column:
+    """An array of texts as lines "label1: text", each cut to ``most`` characters; nulls are empty."""
+    cut = lambda x: filled(x) if most is None else F.left(filled(x), F.lit(most))
+    return F.array_join(F.transform(texts, lambda x, i: F.concat(F.lit(label), (i + 1).cast("string"), F.lit(": "), cut(x))), "\n")

@@ -248,3 +248,14 @@ def result_envelopes(spark, d):
     code = F.when(kind == "error", F.when(F.col("event_id") % 2 == 0, "UNHEARD_OF").otherwise("INTERNAL_ERROR"))
     made = G.envelope(F.col("props"), code, kind == "signup")
     return table(spark, d, "events").select("event_id", F.inline(F.array(made)))
+
+
+@query("relevance_prompts", r"""
+WITH p AS (SELECT conv_id, array_agg(text ORDER BY turn) FILTER (WHERE role = 'assistant' AND turn <= 8) AS docs, arg_min(text, turn) FILTER (WHERE role = 'user') AS q FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5('Question: ' || coalesce(q, '') || E'\n' || coalesce(array_to_string(list_transform(range(1, len(docs) + 1), lambda i: '文档' || i || ': ' || left(docs[i], 50)), E'\n'), '') || E'\nAnswer {0|1|2}.') AS prompt_md5 FROM p""")
+def relevance_prompts(spark, d):
+    """A template filled with a question and its numbered documents."""
+    early = (F.col("role") == "assistant") & (F.col("turn") <= 8)
+    g = table(spark, d, "conversations").where(early | (F.col("role") == "user")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(early, F.struct("turn", "text")))).alias("d"), F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("q"))
+    docs = T.numbered(F.transform("d", lambda s: s["text"]), "文档", 50)
+    return g.select("conv_id", F.md5(T.from_template("Question: {q}\n{docs}\nAnswer {{0|1|2}}.", {"q": F.col("q"), "docs": docs})).alias("prompt_md5"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import posixpath
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs  # noqa: F401  (pa.fs)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.pages import page_text
@@ -77,3 +80,38 @@ def write_jsonl(df: DataFrame, path: str, *, by: str | None = None) -> None:
     """Append rows as JSON lines, one folder for each value of ``by``."""
     writer = df.write.mode("append").option("ignoreNullFields", "false")
     (writer.partitionBy(by) if by else writer).json(path)
+
+
+def write_mirrored(rows: DataFrame, folder: str, path: Column, body: Column, *, suffix: str | None = None) -> DataFrame:
+    """Write the text of each row to a file of its own below ``folder``, at a relative path, and return (path, bytes, error).
+
+    ``suffix`` takes the place of the path's own, as ``.json`` for blocks of a page. Files are
+    written beside their place and then moved, so that a task that runs again, or dies, leaves
+    whole files. A path that is null, absolute or leads out of the folder, and a null text, give
+    an error and no file. Nothing is written before the result is read; paths must be distinct,
+    and the folder in a store that pyarrow reaches.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+        for batch in batches:
+            out = []
+            for name, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                try:
+                    if not name or name.startswith("/") or ".." in name.split("/"):
+                        raise ValueError("not a path below the folder")
+                    if text is None:
+                        raise ValueError("no text")
+                    target = f"{root.rstrip('/')}/{name if suffix is None else posixpath.splitext(name)[0] + suffix}"
+                    store.create_dir(posixpath.dirname(target), recursive=True)
+                    part = f"{posixpath.dirname(target)}/.{posixpath.basename(target)}.{uuid.uuid4().hex}"
+                    data = text.encode("utf-8", "surrogatepass")
+                    with store.open_output_stream(part) as f:
+                        f.write(data)
+                    store.move(part, target)
+                    out.append((name, len(data), None))
+                except Exception as e:
+                    out.append((name, None, str(e)))
+            a, b, c = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["path", "bytes", "error"])
+
+    return rows.select(path.cast("string").alias("path"), body.cast("string").alias("body")).mapInArrow(run, "path string, bytes long, error string")

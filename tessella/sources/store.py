@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import knowledge as K
+from tessella.operators import retrieval as R
 from tessella.operators.chunking import chunk_documents
 from tessella.sources.files import documents
+from tessella.sources.sessions import Sessions
 
 #: Most blocks of one ingest, most versions kept of a document.
 MOST_BLOCKS, MOST_VERSIONS = 5000, 50
@@ -152,3 +154,26 @@ class Corpus:
 
     def stats(self) -> DataFrame:
         return self.blocks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, global_chunk_idx, score, rank): the k blocks nearest to each query by TF-IDF over title, summary and text.
+
+        ``queries`` has query_id and text; a blank one finds nothing, and only scores above 0 count.
+        """
+        text = T.corpus_text(F.col("title"), F.col("summary"), F.lit(None).cast("string"), F.col("text"))
+        postings, idf = R.tfidf_index(self.blocks, id_col="global_chunk_idx", text=text)
+        return R.keyword_search(queries, postings, idf, k, id_col="global_chunk_idx")
+
+
+_OPEN: dict[tuple[str, str], object] = {}
+
+
+def open_store(spark: SparkSession, kind: str, folder: str):
+    """The one store of a kind (corpus or sessions) in a folder; the same object while the session lasts."""
+    kinds = {"corpus": Corpus, "sessions": Sessions}
+    if kind not in kinds:
+        raise ValueError(f"no store of kind {kind!r}; there are {', '.join(sorted(kinds))}")
+    found = _OPEN.get((kind, folder.rstrip("/")))
+    if found is None or found.spark is not spark:
+        found = _OPEN[kind, folder.rstrip("/")] = kinds[kind](spark, folder)
+    return found

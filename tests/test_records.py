@@ -9,8 +9,9 @@ from tessella.functions import text as T
 from tessella.operators import records as C
 from tessella.operators import registry as G
 from tessella.operators import retrieval as R
+from tessella.sources.files import write_mirrored
 from tessella.sources.sessions import Sessions
-from tessella.sources.store import Corpus
+from tessella.sources.store import Corpus, open_store
 
 
 def test_answer_events(spark):
@@ -131,3 +132,35 @@ def test_ingest_folder(spark, tmp_path):
     (folder / "a.txt").write_text("new")
     corpus.ingest_folder(str(folder))
     assert sorted(r.text for r in corpus.blocks.collect()) == ["new", "short"] and {r.page_name for r in corpus.blocks.collect()} == {"a.txt", "b.md"}
+
+
+def test_templates_and_numbered(spark):
+    rows = spark.createDataFrame([("{x}", ["a", None, "bcd"]), (None, []), ("q", None)], "q string, d array<string>")
+    got = [r.t for r in rows.select(T.from_template("{{Q}}: {q}|{d}", {"q": F.col("q"), "d": T.numbered(F.col("d"), "d", 2)}).alias("t")).collect()]
+    assert got == ["{Q}: {x}|d1: a\nd2: \nd3: bc", "{Q}: |", "{Q}: q|"]
+
+
+def test_write_mirrored(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.html", "één"), ("c.html", ""), ("../up.html", "x"), ("/abs.html", "x"), (None, "x"), ("n.html", None)], "p string, t string")
+    for target in (str(tmp_path / "one"), f"file://{tmp_path}/two"):
+        for _ in range(2):  # written again, the files are the same
+            got = {r.path: (r.bytes, r.error is None) for r in write_mirrored(rows, target, F.col("p"), F.col("t"), suffix=".json").collect()}
+        assert got == {"a/b.html": (5, True), "c.html": (0, True), "../up.html": (None, False), "/abs.html": (None, False), None: (None, False), "n.html": (None, False)}
+    for folder in ("one", "two"):
+        assert (tmp_path / folder / "a" / "b.json").read_text() == "één" and sorted(p.name for p in (tmp_path / folder).rglob("*") if p.is_file()) == ["b.json", "c.json"]
+    assert write_mirrored(rows.limit(0), str(tmp_path / "three"), F.col("p"), F.col("t")).count() == 0
+
+
+def test_corpus_search_and_open_store(spark, tmp_path):
+    corpus = open_store(spark, "corpus", str(tmp_path / "kb"))
+    assert corpus is open_store(spark, "corpus", str(tmp_path / "kb/")) and open_store(spark, "sessions", str(tmp_path / "s")).list().count() == 0
+    blocks = spark.createDataFrame([("d1", 0, "red apple", "fruit"), ("d1", 1, "green pear", "fruit"), ("d2", 0, "blue sky", None)], "doc_id string, chunk_idx int, text string, title string").withColumn("filename", F.lit("f"))
+    corpus.ingest_all(blocks)
+    queries = spark.createDataFrame([(1, "fruit apple"), (2, "  "), (3, None), (4, "zebra")], "query_id int, text string")
+    assert [(r.query_id, r.global_chunk_idx) for r in corpus.search(queries, 5).orderBy("query_id", "rank").collect()] == [(1, 0), (1, 1)]
+    try:
+        open_store(spark, "odd", "x")
+    except ValueError as e:
+        assert "corpus" in str(e)
+    else:
+        raise AssertionError
