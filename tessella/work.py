@@ -8,9 +8,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: dict[int, str] = {}
+#: After so many work tables the driver gives memory back.
+EVERY = 16
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -46,6 +49,25 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def release_driver(spark: SparkSession) -> bool:
+    """Give the driver's freed memory back to the machine; False where its JVM can only shrink the heap.
+
+    A query of many work tables compiles and plans hundreds of times. What threads have freed
+    meanwhile stays with the C allocator of the JVM until it is told to return it.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:
+        # by the interface's own method: the class of the server is not open to calls by name
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # another system, or a JVM without the command
+        return False
+    return True
+
+
 class Workspace:
     """Work tables of one query: written once, read back, and so cut off from their lineage."""
 
@@ -63,6 +85,8 @@ class Workspace:
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
+        if self.count % EVERY == 0:
+            release_driver(self.spark)
         return out
 
     def drop(self, df: DataFrame) -> None:

@@ -1,4 +1,5 @@
 import random
+import sys
 
 import corpus_pipeline as cp
 from tessella.llm import langid
@@ -88,3 +89,17 @@ def test_near_copies_that_line_dedup_has_cut(spark, tmp_path):
     before = dict(enumerate(texts))
     alike = {j for i in range(len(texts)) for j in range(i + 1, len(texts)) if i // 5 == j // 5 and jaccard(texts[i], texts[j]) >= 0.8}
     assert got == near_kept(inputs, before) and len(alike - got) >= 0.9 * len(alike) and got >= set(range(0, 150, 5))
+
+
+def test_the_driver_gives_memory_back_after_many_work_tables(spark, monkeypatch):
+    from tessella import work
+
+    calls = []
+    real = work.release_driver
+    monkeypatch.setattr(work, "release_driver", lambda s: calls.append(real(s)))
+    folder = work.Workspace(spark)
+    for _ in range(2 * work.EVERY):
+        kept = folder.keep(spark.range(3).toDF("x"))
+        assert kept.count() == 3
+    folder.clear()
+    assert len(calls) == 2 and all(x is (sys.platform == "linux") for x in calls)
