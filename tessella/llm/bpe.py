@@ -13,7 +13,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ _MARK = "\0"
 _CLOSE = r"([A-Za-z0-9À-ÖØ-öø-ɏ])([.,])"
 _PIECE_CHARS = 4_000_000
 _MEMO_CHARS = 48
+#: Pieces that the library gets as one text.
+_TOGETHER = 256
 
 
 def _odd(piece: str) -> bool:
@@ -64,6 +66,20 @@ class Bpe:
                 out.append(ids.tobytes())
         return out
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without line feeds, many in a text: a line feed between two of them is a token of its own."""
+        out: list[bytes] = []
+        for first in range(0, len(pieces), 16 * _TOGETHER):
+            groups = [pieces[at : at + _TOGETHER] for at in range(first, min(first + 16 * _TOGETHER, len(pieces)), _TOGETHER)]
+            for group, ids in zip(groups, self._whole(["\n".join(g) for g in groups])):
+                feeds = np.flatnonzero(np.frombuffer(ids, self.dtype) == np.frombuffer(self.feed, self.dtype)[0])
+                if len(feeds) != len(group) - 1:
+                    out += self._whole(group)
+                    continue
+                ends = (feeds * self.width).tolist()
+                out += [ids[a:b] for a, b in zip([0, *(e + self.width for e in ends)], [*ends, len(ids)])]
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, without special tokens."""
         return self.encode_column(pa.array([text]))[0]
@@ -114,8 +130,11 @@ class Bpe:
                 ids[i] = b""
             else:
                 rest.append(i)
-        heads = {"\n": 0, _MARK: 1}
-        for i, x in zip(rest, self._whole([pieces[i] if (h := heads.get(pieces[i][0])) == 0 else pieces[i][1:] if h else " " + pieces[i] for i in rest])):
+        fresh = [[], []]
+        for i in rest:
+            fresh[pieces[i][0] == "\n"].append(i)
+        coded_now = chain(self._joined([pieces[i][1:] if pieces[i][0] == _MARK else " " + pieces[i] for i in fresh[0]]), self._whole([pieces[i] for i in fresh[1]]))
+        for i, x in zip(chain(*fresh), coded_now):
             ids[i] = x
             if len(pieces[i]) <= _MEMO_CHARS:
                 self.once[pieces[i]] = x

@@ -114,3 +114,16 @@ def test_packing_odd_rows(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "7 as offset", "8 as length")
     check_pieces(packing.pack_documents(docs, bpe.tokenizer_path()).collect(), texts)
     assert packing.pack_documents(docs.limit(0), bpe.tokenizer_path()).count() == 0
+
+
+def test_new_pieces_meet_the_library_many_at_once(monkeypatch):
+    coder = bpe.Bpe(bpe.tokenizer_path())
+    words = [f"w{i}x{i * i}" for i in range(3000)]
+    texts = [" ".join(words), "\n".join(words[::-1]) + ".", "a. b, c\tд é\x85\n\nq " + ". ".join(words[:700])]
+    sent = []
+    whole = coder._whole
+    monkeypatch.setattr(coder, "_whole", lambda some: (sent.append(len(some)), whole(some))[1])
+    got = coder.encode_column(pa.array(texts[:1]))
+    assert sum(sent) < 100
+    for text, ids in zip(texts, got + coder.encode_column(pa.array(texts[1:]))):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
