@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.llm import bpe, langid, line_dedup, packing, secret_scan, simhash
 from tessella.llm.common import Workspace, fresh_name, small_batches
 from tessella.session import table
+from tessella.work import setting
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -40,7 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     came into the pipeline counts beside the text that is left of it.
     """
     small_batches(spark)
-    return simhash.dedup_similar(docs, earlier=table(spark, sf_dir, "documents"), width=5, similarity=0.8)
+    # a thousand long texts at once, and the buffers that grow with them, are most of an executor's memory
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "8m"):
+        return simhash.dedup_similar(docs, earlier=table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,11 +21,12 @@ id is its least doc_id, null only if it has no other; no rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Workspace, begin_task, bounded_sample, fresh_name, in_pieces, small_batches, texts_of
@@ -36,6 +37,8 @@ SEGMENTS = 5
 CROWD = 64
 #: Of the similarity search: members that an anchor's nodes meet first, documents sampled for common shingles, most of these, bits of the short parities.
 HUBS, SAMPLE, COMMON, SHORT = 2, 4000, 100_000, 512
+#: Arrays that pairs carry through a join at once: bytes, or this share of the bytes of all nodes' shingle sets if that is more.
+TURN, ODD_SHARE, SET_SHARE = 256 << 20, 0.25, 1.0
 #: Nodes whose texts are to be compared are broadcast up to this number, 8 bytes each; beyond it they are joined by shuffles.
 BROADCAST_NODES = 1_000_000
 
@@ -207,21 +210,28 @@ def _long_parities(shingles: np.ndarray) -> np.ndarray | None:
 _MARKS = "doc_id long, text_hash long, fp long, n long, prefix array<bigint>, odd array<bigint>, " + ", ".join(f"p{k} long" for k in range(SHORT // 64))
 
 
+def _marks_of(batch: pa.RecordBatch, common: np.ndarray, similarity: float, width: int) -> Iterator[pa.RecordBatch]:
+    """The marks of a batch (doc_id, text_hash, text), by runs of rows, so that the sets of few long texts are held at once."""
+    names, longs = [f.split()[0] for f in _MARKS.split(", ")], pa.list_(pa.int64())
+    texts = texts_of(batch.column(2))
+    for rows in in_pieces(texts, 500_000):
+        part = batch.slice(rows[0], len(rows))
+        fp, sets = fingerprints([texts[i] for i in rows], width, sets=True)
+        short = np.stack([parities(x, SHORT) for x in sets])
+        cols = [part.column(0), part.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, similarity, common) for x in sets], longs), pa.array([_long_parities(x) for x in sets], longs)]
+        yield pa.RecordBatch.from_arrays([*cols, *(pa.array(short[:, k]) for k in range(SHORT // 64))], names=names)
+
+
 def with_prefixes(docs: DataFrame, common: np.ndarray, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(doc_id, text_hash, fp, n, prefix, odd, p0 and so on) for each row.
 
     n is the number of distinct shingles; p0 and so on are their parities in ``SHORT`` classes, odd those of long sets.
     """
-    names = [f.split()[0] for f in _MARKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("simhash")
         for batch in batches:
-            fp, sets = fingerprints(texts_of(batch.column(2)), width, sets=True)
-            longs = pa.list_(pa.int64())
-            short = np.stack([parities(x, SHORT) for x in sets]) if sets else np.zeros((0, SHORT // 64), np.int64)
-            cols = [batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, similarity, common) for x in sets], longs), pa.array([_long_parities(x) for x in sets], longs)]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(short[:, k]) for k in range(SHORT // 64))], names=names)
+            yield from _marks_of(batch, common, similarity, width)
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -234,8 +244,10 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("simhash")
         for batch in batches:
-            found = [np.unique(_hashes(t, width).view(np.int64)) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+            texts = texts_of(batch.column(1))
+            for rows in in_pieces(texts, 500_000):
+                found = [np.unique(_hashes(texts[i], width).view(np.int64)) for i in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows[0], len(rows)), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     few = wanted.count() <= BROADCAST_NODES
     one = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
@@ -256,6 +268,22 @@ class _Search:
     def __init__(self, work: Workspace, texts: DataFrame, nodes: DataFrame, similarity: float, width: int):
         self.work, self.texts, self.nodes, self.similarity, self.width = work, texts, nodes, similarity, width
         self.short = [f"p{k}" for k in range(SHORT // 64)]
+        self.set_bytes = 8 * (nodes.agg(F.sum("n")).first()[0] or 0)
+
+    def kept_pairs(self, pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``pairs(a, b, a_n)`` written, and the sum of a_n, taken while they are written."""
+        seen = Observation()
+        out = self.work.keep(pairs.observe(seen, F.coalesce(F.sum("a_n"), F.lit(0)).alias("sum")), name)
+        return out, seen.get["sum"]
+
+    def turns(self, pairs: DataFrame, size: float, share: float) -> list[DataFrame]:
+        """``pairs`` in parts by hash, since every pair takes an array of its node a through the join on b.
+
+        ``size`` is the bytes of these arrays. A part's shuffle files go before the next part
+        begins, so that the disk holds those of one.
+        """
+        n = max(1, int(np.ceil(size / max(TURN, share * self.set_bytes))))
+        return [pairs.where(F.pmod(F.xxhash64(F.lit(11), "a", "b"), F.lit(n)) == k) for k in range(n)] if n > 1 else [pairs]
 
     def may_be(self, x: str, y: str) -> Column:
         """Sizes, and the short parities, that a pair of the wanted similarity can have.
@@ -271,23 +299,31 @@ class _Search:
         return (1 - self.similarity) / (1 + self.similarity) * (m + n) + 1e-6
 
     def alike(self, wanted: DataFrame) -> DataFrame:
-        """The pairs (a, b) of ``wanted`` whose whole shingle sets have the similarity."""
-        pairs = self.work.keep(wanted.distinct(), "wanted")
+        """The pairs (a, b) of ``wanted(a, b, a_n)`` whose whole shingle sets have the similarity; a_n is the shingles of a."""
+        pairs, shingles = self.kept_pairs(wanted.distinct(), "wanted")
         odds = self.nodes.where("odd is not null").select("node", "n", "odd")
         # classes differ by more than one doubling only at similarities below 0.5, where nothing goes
         sizes = F.greatest(F.size("a_odd"), F.size("b_odd")) <= 2 * F.least(F.size("a_odd"), F.size("b_odd"))
-        far = sizes & (_odd_apart(F.col("a_odd"), F.col("b_odd")) > self.most_apart(F.col("a_n"), F.col("b_n")))
-        marked = pairs.join(odds.toDF("a", "a_n", "a_odd"), "a", "left").join(odds.toDF("b", "b_n", "b_odd"), "b", "left")
-        near = self.work.keep(marked.where(F.coalesce(~far, F.lit(True))).select("a", "b"), "near")
+        far = sizes & (_odd_apart(F.col("a_odd"), F.col("b_odd")) > self.most_apart(F.col("a_len"), F.col("b_len")))
+        parts, shingles_near = [], 0
+        for some in self.turns(pairs, shingles / 4, ODD_SHARE):  # up to two classes a shingle, 8 in a byte
+            marked = some.join(odds.toDF("a", "a_len", "a_odd"), "a", "left").join(odds.toDF("b", "b_len", "b_odd"), "b", "left")
+            part, n = self.kept_pairs(marked.where(F.coalesce(~far, F.lit(True))).select("a", "b", "a_n"), "near")
+            parts.append(part)
+            shingles_near += n
+        near = reduce(DataFrame.unionByName, parts)
         self.work.drop(pairs)
         ends = self.work.keep(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "ends")
         sets = self.work.keep(_sets(self.texts, ends, self.width), "sets")
-        read = near.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
         both = F.size(F.array_intersect("a_set", "b_set"))
-        links = self.work.keep(read.where(both / (F.size("a_set") + F.size("b_set") - both) >= self.similarity).select("a", "b"), "similar")
-        self.work.drop(near)
+        links = []
+        for some in self.turns(near, 8 * shingles_near, SET_SHARE):
+            read = some.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
+            links.append(self.work.keep(read.where(both / (F.size("a_set") + F.size("b_set") - both) >= self.similarity).select("a", "b"), "similar"))
+        for part in parts:
+            self.work.drop(part)
         self.work.drop(sets)
-        return links
+        return reduce(DataFrame.unionByName, links)
 
 
 def similar_links(work: Workspace, texts: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float, *, width: int = 5, crowd: int = CROWD) -> DataFrame:
@@ -315,7 +351,7 @@ def similar_links(work: Workspace, texts: DataFrame, nodes: DataFrame, known: Da
     work.drop(hubs)
     ends = nodes.select(*brief)
     fit = through.join(ends.toDF("a", *(f"a_{c}" for c in brief[1:])), "a").join(ends.toDF("b", *(f"b_{c}" for c in brief[1:])), "b").where(search.may_be("a_", "b_"))
-    links = search.alike(fit.select("a", "b"))
+    links = search.alike(fit.select("a", "b", "a_n"))
     work.drop(through)
     roots = connected_components(work, known.unionByName(links))
     rooted = work.keep(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "anchor_roots")
@@ -335,7 +371,8 @@ def similar_links(work: Workspace, texts: DataFrame, nodes: DataFrame, known: Da
     same = (F.col("x_anchor") == F.col("y_anchor")) & (F.col("x_i") == F.col("y_i")) & (F.col("x_j") == F.col("y_j"))
     once = (F.col("x_block") < F.col("y_block")) | ((F.col("x_i") == F.col("x_j")) & (F.col("x_node") < F.col("y_node")))
     rest = x.join(y, same & (F.col("x_root") != F.col("y_root")) & once & search.may_be("x_", "y_"))
-    more = search.alike(rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")))
+    least_n = F.when(F.col("x_node") < F.col("y_node"), F.col("x_n")).otherwise(F.col("y_n"))
+    more = search.alike(rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), least_n.alias("a_n")))
     work.drop(parted)
     return links.unionByName(more)
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tessella.llm import imatch, simhash
@@ -212,3 +214,37 @@ def test_similar_sets_with_a_phrase_repeated(spark):
     rows = [(0, " ".join(words)), (1, " ".join(words + ["again and again we go"] * 400))]
     assert jaccard(rows[0][1], rows[1][1]) >= 0.8 and bin(plain_fingerprint(rows[0][1], 5) ^ plain_fingerprint(rows[1][1], 5)).count("1") > 22
     assert same_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_pairs_of_long_texts_are_compared_in_turns(spark, monkeypatch):
+    rng = random.Random(21)
+    base = ["w%d" % rng.randrange(9000) for _ in range(900)]
+    texts = [" ".join(base)]
+    for k in range(24):  # some within 0.8 of the first text, some not
+        own = list(base)
+        for at in rng.sample(range(900), 3 + 2 * k):
+            own[at] = "new%d" % rng.randrange(9000)
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "TURN", 1)
+    monkeypatch.setattr(simhash, "ODD_SHARE", 0.02)
+    monkeypatch.setattr(simhash, "SET_SHARE", 0.5)
+    written, real = [], simhash.Workspace.keep
+    monkeypatch.setattr(simhash.Workspace, "keep", lambda self, df, name="t": (written.append(name), real(self, df, name))[1])
+    got = {r.doc_id: r.component_id for r in simhash.group_similar(docs).collect()}
+    fps = [plain_fingerprint(t, 5) for t in texts]
+    n = range(len(texts))
+    links = [(a, b) for a in n for b in n if a < b and (jaccard(texts[a], texts[b]) >= 0.8 or bin(fps[a] ^ fps[b]).count("1") <= 2)]
+    root = plain_components(list(n), links)
+    assert got == {i: root[i] for i in n} and 1 < len(set(root[i] for i in n)) < len(texts)
+    assert written.count("near") > written.count("wanted") and written.count("similar") > written.count("wanted")
+
+
+def test_marks_of_long_texts_leave_by_parts():
+    texts = [" ".join("w%d" % (k * i % 9973) for i in range(60_000)) for k in range(1, 6)] + [None, "", "a b"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(8), "text_hash": range(8), "text": texts})
+    parts = list(simhash._marks_of(batch, np.empty(0, np.int64), 0.8, 5))
+    fp, sets = simhash.fingerprints([t or "" for t in texts], 5, sets=True)
+    rows = [r for part in parts for r in part.to_pylist()]
+    assert len(parts) > 2 and [r["doc_id"] for r in rows] == list(range(8))
+    assert [r["fp"] for r in rows] == fp.tolist() and [r["n"] for r in rows] == [len(x) for x in sets]
