@@ -170,6 +170,11 @@ def token_estimate(c: Column) -> Column:
     return F.floor(F.length(filled(c)) / 4).cast("long")
 
 
+def date_time(c: Column) -> Column:
+    """A time as year-month-day hour:minute:second; years after 9999 have no sign before them."""
+    return F.regexp_replace(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), r"^\+", "")
+
+
 def file_name(c: Column, most: int = 120) -> Column:
     out = F.regexp_replace(filled(c), r'[\\/:*?"<>|]', "_")
     return F.substring(F.regexp_replace(out, r"^[ .]+|[ .]+$", ""), 1, most)

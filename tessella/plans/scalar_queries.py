@@ -141,4 +141,4 @@ SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT),
 def typed_arguments(spark, d):
     e = F.col("event_id")
     text = F.when(e % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
-    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(-1)).alias("k_long"), F.col("event_type").try_cast("long").alias("bad_long"), F.date_format(F.timestamp_seconds(e * 86400), "yyyy-MM-dd HH:mm:ss").alias("at"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).isNull().alias("unparsed"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(-1)).alias("k_long"), F.col("event_type").try_cast("long").alias("bad_long"), T.date_time(F.timestamp_seconds(e * 86400)).alias("at"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).isNull().alias("unparsed"))
