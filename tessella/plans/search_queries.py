@@ -9,7 +9,7 @@ from tessella.functions import text as T
 from tessella.operators import retrieval as R
 from tessella.session import table
 from tessella.sources.index import index_of
-from tessella.work import spread
+from tessella.work import Workspace, spread
 
 QUERIES, ORACLE_SQL = {}, {}
 K = 5
@@ -69,7 +69,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def _keyword(spark, d, k=20):
     index = index_of(_corpus(spark, d))
-    return R.keyword_search(_queries(spark, d), index.postings, index.idf, k)
+    return R.keyword_search(_queries(spark, d), index.lists, index.idf, index.norms, k)
 
 
 def _vector(spark, d, k=20):
@@ -77,14 +77,16 @@ def _vector(spark, d, k=20):
 
 
 def _lists(spark, d):
+    """Both lists, written: what reads them reads them several times."""
     a = _keyword(spark, d).withColumn("retriever", F.lit("keyword"))
-    return a.unionByName(_vector(spark, d).withColumn("retriever", F.lit("vector")))
+    return Workspace(spark).keep(a.unionByName(_vector(spark, d).withColumn("retriever", F.lit("vector"))), "lists")
 
 
 def _hybrid(spark, d):
     corpus = _corpus(spark, d).withColumn("rerank_text", T.rerank_text(F.col("title"), F.lit(""), F.col("text")))
-    fused = R.fuse(_lists(spark, d)).where("rank <= 20")
-    return R.rerank(_queries(spark, d), fused, corpus, K)
+    work = Workspace(spark)
+    fused = work.keep(R.fuse(_lists(spark, d)).where("rank <= 20"), "fused")
+    return work.keep(R.rerank(_queries(spark, d), fused, corpus, K), "best")
 
 
 @query("keyword_search_topk", f"WITH {_KEYWORD} SELECT query_id, chunk_id, score, rank FROM keyword")
@@ -134,7 +136,7 @@ _PLACED = f"""{_RERANK}, ranked AS (SELECT b.*, d.source AS title, d.text FROM b
 
 
 def _placed(spark, d):
-    return _hybrid(spark, d).join(_corpus(spark, d), "chunk_id")
+    return _corpus(spark, d).join(R.small(_hybrid(spark, d)), "chunk_id")
 
 
 @query("context_assembly", rf"""WITH {_PLACED},
@@ -172,25 +174,24 @@ scored AS (SELECT query_id,
 def _cases(spark, d):
     found = _keyword(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("f")).select("query_id", F.transform("f", lambda s: s["chunk_id"]).alias("found"))
     b, docs = _queries(spark, d), _corpus(spark, d)
-    index = index_of(docs)
-    rel = R.containing(b, docs, index.postings, index.idf).groupBy("query_id").agg(F.collect_set("chunk_id").alias("relevant"))
+    rel = R.containing(b, spread(docs.select("chunk_id", "text")), index_of(docs).idf).groupBy("query_id").agg(F.collect_set("chunk_id").alias("relevant"))
     none = F.array().cast("array<bigint>")
     return b.join(found, "query_id", "left").join(rel, "query_id", "left").select("query_id", F.coalesce("found", none).alias("found"), F.coalesce("relevant", none).alias("relevant"))
 
 
-def _scored(spark, d):
+def _scored(cases):
     f, r = F.col("found"), F.col("relevant")
-    return _cases(spark, d).select("query_id", M.recall_at_k(f, r, K).alias("recall"), M.precision_at_k(f, r, K).alias("precision"), M.reciprocal_rank(f, r).alias("mrr"), M.ndcg_at_k(f, r, K).alias("ndcg"))
+    return cases.select("query_id", M.recall_at_k(f, r, K).alias("recall"), M.precision_at_k(f, r, K).alias("precision"), M.reciprocal_rank(f, r).alias("mrr"), M.ndcg_at_k(f, r, K).alias("ndcg"))
 
 
 @query("retrieval_metrics", f"WITH {_CASES},{_METRICS} SELECT * FROM scored")
 def retrieval_metrics(spark, d):
-    return _scored(spark, d)
+    return _scored(_cases(spark, d))
 
 
 @query("retrieval_report", f"WITH {_CASES},{_METRICS} SELECT count(*) AS n, " + ", ".join(f"round(coalesce(avg({m}), 0), 4) AS {m}" for m in ("recall", "precision", "mrr", "ndcg")) + " FROM scored")
 def retrieval_report(spark, d):
-    return _scored(spark, d).agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 4).alias(m) for m in ("recall", "precision", "mrr", "ndcg")))
+    return _scored(_cases(spark, d)).agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 4).alias(m) for m in ("recall", "precision", "mrr", "ndcg")))
 
 
 @query("hit_rates", f"""WITH {_KEYWORD},

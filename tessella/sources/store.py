@@ -19,7 +19,9 @@ from tessella.operators import knowledge as K
 from tessella.operators import retrieval as R
 from tessella.operators.chunking import chunk_documents
 from tessella.sources.files import documents
+from tessella.sources.index import build
 from tessella.sources.sessions import Sessions
+from tessella.work import work_folder
 
 #: Most blocks of one ingest, most versions kept of a document.
 MOST_BLOCKS, MOST_VERSIONS = 5000, 50
@@ -161,8 +163,8 @@ class Corpus:
         ``queries`` has query_id and text; a blank one finds nothing, and only scores above 0 count.
         """
         text = T.corpus_text(F.col("title"), F.col("summary"), F.lit(None).cast("string"), F.col("text"))
-        postings, idf = R.tfidf_index(self.blocks, id_col="global_chunk_idx", text=text)
-        return R.keyword_search(queries, postings, idf, k, id_col="global_chunk_idx")
+        index = build(self.blocks.select(F.col("global_chunk_idx").alias("chunk_id"), text.alias("text")), work_folder(self.spark))
+        return R.keyword_search(queries, index.lists, index.idf, index.norms, k).withColumnRenamed("chunk_id", "global_chunk_idx")
 
 
 _OPEN: dict[tuple[str, str], object] = {}
