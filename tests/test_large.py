@@ -3,13 +3,17 @@
 import datetime
 import math
 import random
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessella.operators import phrases as H
 from tessella.operators import retrieval as R
 from tessella.sources.index import build
+from tessella.work import Workspace
 
 
 def test_years_of_five_digits(spark, tmp_path):
@@ -91,3 +95,35 @@ def test_containing_shuffles_no_text(spark, tmp_path):
     found = R.containing(spark.createDataFrame(asked, "query_id long, text string"), corpus, build(corpus, f"{tmp_path}/index").idf)
     assert sorted((r.query_id, r.chunk_id) for r in found.collect()) == sorted((q, i) for q, t in asked for i, text in rows if t in text)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _phrases(rows, high, most):
+    """Every n-gram of every sentence, counted one by one."""
+    counts = Counter()
+    for text in rows:
+        for sentence in re.split(r"[。！？；，,.!?;:、\n\r]+", text):
+            u = re.findall("[A-Za-z]+", sentence)
+            counts.update(" ".join(u[i : i + n]) for n in range(2, high + 1) for i in range(len(u) - n + 1))
+    return sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
+@pytest.mark.parametrize("first", [3, 2048])
+def test_frequent_phrases_count_few(spark, monkeypatch, first):
+    """Most phrases are rare and are never counted; the result is that of counting all, with ties, breaks and other letters."""
+    rng = random.Random(7)
+    head = [f"{a}{b}" for a in "abc" for b in "xyz"]
+    rows = []
+    for i in range(400):
+        u = [rng.choice(head) if rng.random() < 0.7 else "".join(rng.choices("pqrstuv", k=5)) for _ in range(rng.randint(0, 30))]
+        rows.append("".join(x + rng.choice([" ", " ", " ", "é", " 7 ", ", ", ".\n"]) for x in u))
+    df = spark.createDataFrame([(x,) for x in [*rows, None, "", "\n"]], "t string")
+    monkeypatch.setattr(H, "FIRST", first)
+    for most in (1, 40, 700):
+        got = [(r.phrase, r.freq) for r in H.frequent_phrases(df, F.col("t"), most=most, words=True).orderBy(F.desc("freq"), "phrase").collect()]
+        assert got == _phrases(rows, 5, most)
+    texts = df.select(F.coalesce("t", F.lit("")).alias("text"))
+    few = H._frequent(Workspace(spark), texts, 5, 40, True).count()
+    assert few < H._all_phrases(df, F.col("t"), 2, 5, True).count() / 10
+    monkeypatch.setattr(H, "MOST_UNITS", 1)
+    got = [(r.phrase, r.freq) for r in H.frequent_phrases(df, F.col("t"), most=40, words=True).orderBy(F.desc("freq"), "phrase").collect()]
+    assert got == _phrases(rows, 5, 40)
