@@ -11,22 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.work import Workspace, work_folder
+from tessella.work import Workspace, small_batches, work_folder
 
 __all__ = ["MEMOS", "Workspace", "begin_task", "bounded_sample", "fresh_name", "held_out", "in_pieces", "release", "small_batches", "texts_of", "work_folder"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Send at most ``rows`` rows at once to Python workers, unless the session has its own setting.
-
-    Documents are long: Spark's 10,000 rows of them are tens of megabytes in every worker.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-    return spark
-
-
 #: What drops the memo of a module in this Python worker, by module.
 MEMOS: dict[str, Callable[[], None]] = {}
 

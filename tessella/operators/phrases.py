@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators.retrieval import CHARS, in_slices
-from tessella.work import Workspace
+from tessella.work import Workspace, small_batches
 
 #: Units whose pairs are counted first; units and pairs that may be part of a frequent phrase, beyond which all phrases are counted; counts that a task holds.
 FIRST, MOST_UNITS, MOST_PAIRS, HELD = 2048, 200_000, 1_000_000, 200_000
@@ -140,7 +140,7 @@ def _frequent(work: Workspace, texts: DataFrame, high: int, most: int, words: bo
 def frequent_phrases(docs: DataFrame, text: Column, *, lengths: tuple[int, int] = (2, 5), most: int = 500, words: bool = False) -> DataFrame:
     """(phrase, freq): most frequent n-grams of CJK characters, or of Latin words; ties in order of the phrase. Written as a work table."""
     low, high = lengths
-    work = Workspace(docs.sparkSession)
+    work = Workspace(small_batches(docs.sparkSession))
     counted = _frequent(work, docs.select(T.filled(text).alias("text")), high, most, words) if low == 2 else None
     if counted is None:
         counted = _all_phrases(docs, text, low, high, words)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.work import small_batches
 
 DIMENSIONS = 256
 SLICES = 32
@@ -89,6 +90,7 @@ def term_lists(df: DataFrame, key: str, text: Column) -> DataFrame:
 
     Rows of one key are one text; only keys that repeat are gathered.
     """
+    small_batches(df.sparkSession)
     rows = df.select(key, T.filled(text).alias("_text"))
     kind = f"{key} {df.schema[key].dataType.simpleString()}, terms array<string>, tfs array<bigint>"
     again = repeated(df, key)
@@ -110,6 +112,7 @@ def norm_parts(lists: DataFrame, idf: DataFrame, *, id_col: str = "chunk_id") ->
     ``lists`` and ``idf`` are stored tables. The frequent terms, which most rows are of, travel
     in the plan; there are ``BROADCAST_ROWS`` of them at most.
     """
+    small_batches(lists.sparkSession)
     least = max(2, lists.count() // FREQUENT)
     while idf.where(F.col("df") >= least).count() > BROADCAST_ROWS:
         least *= 2
@@ -269,6 +272,7 @@ def keyword_search(queries: DataFrame, lists: DataFrame, idf: DataFrame, norms:
     ``lists``, ``idf`` and ``norms`` are those of :mod:`tessella.sources.index`. Of a document, only
     the terms that the queries have meet its norm, and only k rows a query and task leave a task.
     """
+    small_batches(queries.sparkSession)
     q = term_counts(queries, "query_id", F.col("text")).join(idf.select("term", "idf"), "term").select("query_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # the idf of the document's side is in the weight too
@@ -294,6 +298,7 @@ def containing(queries: DataFrame, corpus: DataFrame, idf: DataFrame) -> DataFra
     documents with the rarest of them are read for it. Queries of two tokens or fewer have none,
     and are looked for in every document. Texts are read where they are; only pairs leave a task.
     """
+    small_batches(queries.sparkSession)
     tokens = T.tokens(F.col("text"))
     cut = queries.where("text is not null").select("query_id", "text", F.array_distinct(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))).alias("inner"))
     each = cut.select("query_id", "text", F.explode("inner").alias("term")).join(idf.select("term", "df"), "term", "left")
@@ -366,6 +371,7 @@ def _dense(cells: DataFrame, key: str, dims: int) -> DataFrame:
 
 def vectors_of_lists(lists: DataFrame, key: str, dims: int = DIMENSIONS) -> DataFrame:
     """(key, vector): the hash embedding of :func:`term_lists` as an array of ``dims`` numbers; texts without a cell have no row."""
+    small_batches(lists.sparkSession)
 
     class Codes(dict):
         """Bucket and sign of a term in one number, remembered for the terms that came last."""
@@ -440,6 +446,7 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows:
     a batch of the corpus and the best so far. Each task gives k rows a query, so what is shuffled is small.
     Vectors of another length, and query vectors without length, find nothing.
     """
+    small_batches(queries.sparkSession)
     unit = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).where(norm(F.col("vector")) > 0)
     blocks = max(1, -(-unit.count() // block_rows))
     rows = corpus.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<double>"))
@@ -551,6 +558,7 @@ def boosted_search(queries: DataFrame, corpus: DataFrame, boosts: dict[str, int]
     Rows of one id are one document. Documents are scored where they are; only those whose ids
     repeat are gathered first.
     """
+    small_batches(queries.sparkSession)
     terms = term_counts(queries, "query_id", F.col("text")).select("query_id", "term")
     none = F.lit((1 << 63) - 1)  # stands for no id, last among equals
     texts = corpus.select(F.coalesce(F.col(id_col).cast("long"), none).alias(id_col), *(T.filled(F.col(f)).alias(f) for f in boosts))
